@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, ngram_join, quality
+from sparkloom.llm import decontaminate, language, licenses, ngram_join, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    model = language.train(docs.where(fold != 1))
+    out = language.identified(docs.select("doc_id", (fold == 1).alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", F.col("best").alias("lang_pred"), "score", F.col("lang").isNull().alias("rejected"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = quality.quality_rules(docs, keep_text=False)
@@ -28,5 +36,14 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op7_benchmark_decontamination, op8_ngram_jaccard_join)}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}
 SQL: dict[str, str] = {}
