@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, language, licenses, ngram_join, quality, sharding
+from sparkloom.llm import chat, decontaminate, html_model, html_pages, language, licenses, ngram_join, packing, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +26,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_read(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_pages.extracted(_read(spark, sf_dir, "pages"), html_model.train())
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_STRINGS = r"\### Assistant: </turn> ok"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_STRINGS).alias("text"))
+    made = chat.conversations_of(chat.linear(rows.unionByName(extra)))
+    return chat.read_back(made).withColumnRenamed("conv", "conv_id")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -45,5 +65,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}
 SQL: dict[str, str] = {}
