@@ -93,7 +93,8 @@ def class_ids(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _named(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(id, n, class) of each document, and the counters of each task as rows (counter, hits)."""
+    """(id, n, class, sketch) of each document, and the counters of each task as rows (counter, hits)."""
+    names_out = ["id", "n", "class", "sketch", "counter", "hits"]
 
     def run(batches):
         counters = np.zeros(COUNTERS, np.int64)
@@ -104,14 +105,15 @@ def _named(docs: DataFrame, shape: Shape) -> DataFrame:
                 counters += np.bincount((keys & ts.U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 names, sizes = class_ids(bounds, values).view(np.int64), np.diff(bounds)
                 empty = pa.nulls(end - start, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(sizes), pa.array(names, mask=sizes == 0), empty, empty], ["id", "n", "class", "counter", "hits"])
+                sketches = pa.array([_sketch(values[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(sizes), pa.array(names, mask=sizes == 0), sketches, empty, empty], names_out)
                 id_type = batch.column(0).type
         used = np.flatnonzero(counters)
         if len(used):
             none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), none, none, pa.array(used), pa.array(counters[used])], ["id", "n", "class", "counter", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(counters[used])], names_out)
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, class long, counter long, hits long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, class long, sketch binary, counter long, hits long")
 
 
 def _keys(docs: DataFrame, shape: Shape, counts: np.ndarray) -> DataFrame:
@@ -215,13 +217,39 @@ def _candidates(keys: DataFrame) -> DataFrame:
 
 
 def _sketch(values: np.ndarray) -> bytes:
+    """The parity sketch of a set: each element flips one of at least four times as many bits."""
     width = max(256, 1 << int(4 * len(values) - 1).bit_length())
     parity = np.bincount((values & ts.U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one width, one row each: a wider sketch folds onto a narrower one by XOR."""
+    width = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches]).view(np.uint64)
+
+
+def _close(pairs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs (a, b) whose sizes and whose sketches' Hamming distance allow a link."""
+    left = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    right = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    near = (F.col("na") * 100 >= F.col("nb") * shape.percent) & (F.col("nb") * 100 >= F.col("na") * shape.percent)
+    both = pairs.select("a", "b").join(left, "b").join(right, "a").where(near).select("a", "b", "na", "nb", "ka", "kb")
+
+    def run(batches):
+        for batch in batches:
+            limits = shape.apart(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            keep = np.zeros(batch.num_rows, bool)
+            for i, pair in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                x, y = _folded(list(pair))
+                keep[i] = np.bitwise_count(x ^ y).sum() <= limits[i]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
-    """(class, n, set, sketch) of the wanted classes, read from one document of each."""
+    """(class, set) of the wanted classes, read from one document of each; sets are sorted."""
 
     def run(batches):
         for batch in batches:
@@ -232,17 +260,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
                 if len(rows):
                     parts = [values[bounds[r] : bounds[r + 1]] for r in rows]
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(np.diff(bounds)[rows]), lists, pa.array([_sketch(p) for p in parts], pa.binary())], ["class", "n", "set", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[rows]), lists], ["class", "set"])
 
-    return docs.join(wanted, "id").select("text", "class").mapInArrow(run, "class long, n long, set array<long>, sketch binary")
+    return docs.join(wanted, "id").select("text", "class").mapInArrow(run, "class long, set array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    left = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("set").alias("sb"))
-    right = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("set").alias("sa"))
-    near = (F.col("na") * 100 >= F.col("nb") * shape.percent) & (F.col("nb") * 100 >= F.col("na") * shape.percent)
-    both = pairs.select("a", "b").join(left, "b").join(right, "a").where(near).select("a", "b", "sa", "sb")
+def _linked(near: DataFrame, docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
+    """The pairs (a, b) that are linked, by their whole sets."""
+    names = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    wanted = names.join(classes, "class").where("first is not null").select(F.col("first").alias("id"), "class")
+    sets = written(_sets(docs, wanted, shape), "sets")
+    both = near.join(sets.withColumnsRenamed({"class": "b", "set": "sb"}), "b").join(sets.withColumnsRenamed({"class": "a", "set": "sa"}), "a").select("a", "b", "sa", "sb")
     percent = shape.percent
 
     def run(batches):
@@ -257,10 +285,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
                 keep[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    links = written(both.mapInArrow(run, "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
-def _left_over(hubs: DataFrame, labels: DataFrame, sets: DataFrame, shape: Shape) -> DataFrame:
+def _left_over(hubs: DataFrame, labels: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
     """Pairs of one hub's members in different components that the Hamming bound can't rule out."""
     of = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     top = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -273,13 +303,11 @@ def _left_over(hubs: DataFrame, labels: DataFrame, sets: DataFrame, shape: Shape
     base = placed.select("a", "b", "cb", F.explode(every).alias("other"), "own", F.lit(False).alias("probe"))
     probes = placed.where("odd").select("a", "b", "cb", F.explode(every).alias("other"), "own", F.lit(True).alias("probe"))
     cells = base.select("a", "b", "cb", "probe", F.col("own").alias("x"), F.col("other").alias("y")).unionAll(probes.select("a", "b", "cb", "probe", F.col("other").alias("x"), F.col("own").alias("y")))
-    cells = cells.join(sets.select(F.col("class").alias("b"), "n", "sketch"), "b")
+    cells = cells.join(classes.select(F.col("class").alias("b"), "n", "sketch"), "b")
 
     def compare(table: pa.Table) -> pa.Table:
         name, comp, n = (table.column(c).to_numpy() for c in ("b", "cb", "n"))
-        probe, raw = table.column("probe").to_numpy(), table.column("sketch").to_pylist()
-        width = min(map(len, raw))
-        flat = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in raw]).view(np.uint64)
+        probe, flat = table.column("probe").to_numpy(), _folded(table.column("sketch").to_pylist())
         base = np.flatnonzero(~probe)
         found_a, found_b = [], []
         for i in np.flatnonzero(probe):
@@ -305,15 +333,15 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table = named.where("counter is not null").groupBy("counter").agg(F.sum("hits").alias("hits")).toArrow()
     counts[table["counter"].to_numpy()] = table["hits"].to_numpy()
     pairs = written(_candidates(_keys(rows, shape, counts)), "pairs")
-    classes = ids.where("class is not null").groupBy("class").agg(F.min("id").alias("first"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select(F.col("first").alias("id"), "class")
-    sets = written(_sets(rows, wanted.where("id is not null"), shape), "sets")
-    links = written(_verified(pairs, sets, shape), "links")
+    classes = named.where("class is not null").groupBy("class").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    classes = written(classes, "classes")
+    links = _linked(written(_close(pairs, classes, shape), "near"), rows, classes, shape)
     labels = components(links)
-    more = written(_verified(_left_over(pairs.where("hot"), labels, sets, shape), sets, shape), "links")
+    more = written(_left_over(pairs.where("hot"), labels, classes, shape), "near")
     if not more.isEmpty():
-        labels = components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
-    discard(pairs, sets)
+        links = _linked(more, rows, classes, shape)
+        labels = components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links))
+    discard(pairs)
     grouped = labels.join(classes, labels["node"] == classes["class"]).select("class", "component", "first")
     least = grouped.groupBy("component").agg(F.min("first").alias("least"))
     known = classes.join(grouped.join(least, "component").select("class", "least"), "class", "left")
