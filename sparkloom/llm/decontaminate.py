@@ -93,6 +93,10 @@ class WindowSet:
                     items.setdefault(int(rows[i]), set()).update(found)
         return starts, ends, rows, np.cumsum(cover[:-1]) > 0, items
 
+    def scan_text(self, text: str):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.scan(data, np.array([0, len(data)]))
+
 
 def _parts(windows: DataFrame, max_windows: int) -> list[list[tuple[str, list[str]]]]:
     """The windows on the driver, at most ``max_windows`` at a time."""
@@ -186,7 +190,8 @@ def join_spans(a: list, b: list) -> list[tuple[int, int]]:
 
 def contaminated_removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", n: int = WINDOW, max_windows: int = 1_000_000) -> DataFrame:
     """The documents without hit words: the columns of ``docs``, rows with any hit cut out of their text; a document
-    with nothing left but separators goes. Texts without hits stay as they are."""
+    with nothing left but separators goes. Texts without hits stay as they are; a text that was cut is scanned again,
+    as what stood around a passage may form one."""
     parts = list(_parts(benchmark_windows(benchmark, item_col, n=n), max_windows))
     names, at = docs.columns, docs.columns.index(text_col)
     out = docs
@@ -204,6 +209,8 @@ def contaminated_removed(docs: DataFrame, benchmark: DataFrame, text_col: str =
                         keep = np.ones(end - start, bool)
                         for r in items:
                             texts[r] = cut(bytes(data[offsets[r] : offsets[r + 1]]), starts, ends, hit, *np.searchsorted(where, [r, r + 1]), offsets[r])
+                            while (again := known.scan_text(texts[r]))[4]:
+                                texts[r] = cut(texts[r].encode(), *again[:2], again[3], 0, len(again[0]), 0)
                             keep[r] = bool(normal_words(texts[r]))
                         columns = [pa.array(texts, part.column(i).type) if i == at else part.column(i) for i in range(len(names))]
                         part = pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 
@@ -39,6 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+#: Rows (of ids and short values) up to which one side of a join is sent to every task.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_join(df: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """Join ``df`` with ``keys``, a frame from :func:`written` of ids and short values: sent to every task if it has at
+    most BROADCAST_ROWS rows, so that the rows of ``df`` stay where they are; else both sides are shuffled."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what :func:`written` stored for these frames; they must not be read again."""
     for df in frames:

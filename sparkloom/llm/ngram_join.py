@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import textscan as ts
 from sparkloom.llm.components import components
-from sparkloom.llm.durable import discard, written
+from sparkloom.llm.durable import discard, sized_join, written
 
 #: Counters of chunk contents. Fixed: contents that share a counter are only ordered less well.
 COUNTERS = 1 << 18
@@ -50,6 +50,13 @@ class Shape:
         """The largest set that a set of n can be linked with."""
         return n * 100 // self.percent
 
+    def bands(self, n: np.ndarray) -> np.ndarray:
+        """A number for each size, such that linked sets have the same number or neighbouring ones."""
+        starts = [1]
+        while starts[-1] <= n.max(initial=1):
+            starts.append(starts[-1] * 100 // self.percent + 1)
+        return np.searchsorted(starts, n, "right")
+
     def apart(self, a, b):
         """The largest symmetric difference of linked sets of these sizes."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
@@ -354,4 +361,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents without those that have a smaller id in their component; the columns of ``docs``."""
     found = ngram_components(docs, id_col, text_col, percent, words)
     gone = written(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    return sized_join(docs, gone, id_col, "left_anti").select(docs.columns)

@@ -132,3 +132,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     judged = rows.join(hosts, rows[host_col].eqNullSafe(hosts["host"]), "left").drop("host")
     bad = F.when(F.col("host_distrusted"), broken(0.5)).otherwise(broken(1.0))
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
+
+
+def accepted(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The documents that :func:`quality_rules` keeps, with the columns of ``docs``."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    places = [names[docs.columns.index(c)] for c in (text_col, host_col)]
+    return quality_rules(docs.toDF(*names), *places).where("kept").select(names).toDF(*docs.columns)

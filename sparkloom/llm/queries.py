@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, html_model, html_pages, language, licenses, ngram_join, packing, quality, sharding
+from sparkloom.llm import chat, decontaminate, html_model, html_pages, language, licenses, line_dedup, ngram_join, packing, quality, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("best").alias("lang_pred"), "score", F.col("lang").isNull().alias("rejected"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = line_dedup.removed_lines(docs)
+    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = lines.join(gone, "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<bigint>")))
+    return out.select("doc_id", "n_lines", F.size("lines").cast("long").alias("n_removed"), F.col("lines").alias("removed_lines"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = quality.quality_rules(docs, keep_text=False)
@@ -65,5 +73,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}
 SQL: dict[str, str] = {}
