@@ -124,7 +124,8 @@ def _named(docs: DataFrame, shape: Shape) -> DataFrame:
 
 
 def _keys(docs: DataFrame, shape: Shape, counts: np.ndarray) -> DataFrame:
-    """(key, weight, class): the chunks that each document sends, once per class and task."""
+    """(key, place, class): the chunks that each document sends, once per class and task. The high byte of ``place`` is
+    the band of the document's size; within it, documents of common chunks come first."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
@@ -145,6 +146,7 @@ def _keys(docs: DataFrame, shape: Shape, counts: np.ndarray) -> DataFrame:
                 rows, bands, keys = shape.chunks(bounds, values[pick])
                 often = counts[keys & ts.U(COUNTERS - 1)]
                 weights = np.bincount(rows, weights=np.minimum(often, 1 << 30), minlength=len(sizes)) / np.maximum(np.bincount(rows, minlength=len(sizes)), 1)
+                place = (shape.bands(sizes) << 24) + (1 << 24) - 1 - np.minimum(weights, (1 << 24) - 1).astype(np.int64)
                 by = (np.minimum(often, (1 << 31) - 1).astype(ts.U) << ts.U(32)) | (keys >> ts.U(32))
                 # a document in two bands sends a prefix in each
                 group = rows * 16 + bands
@@ -162,64 +164,80 @@ def _keys(docs: DataFrame, shape: Shape, counts: np.ndarray) -> DataFrame:
                     out_keys.append(ts.mix(group[first[short]].astype(ts.U) & ts.U(15)))
                     out_rows.append(rows[first[short]])
                 out_rows = np.concatenate(out_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(weights[out_rows].astype(np.int32)), pa.array(names.view(np.int64)[out_rows])], ["key", "weight", "class"])
-
-    return docs.mapInArrow(run, "key long, weight int, class long")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_keys).view(np.int64)), pa.array(place[out_rows].astype(np.int32)), pa.array(names.view(np.int64)[out_rows])], ["key", "place", "class"])
+
+    return docs.mapInArrow(run, "key long, place int, class long")
+
+
+class Runs:
+    """Turns classes that share a key, in ascending order of their size bands, into candidate pairs."""
+
+    def __init__(self):
+        self.key, self.hubs = None, {}
+
+    def pairs(self, key: np.ndarray, band: np.ndarray, name: np.ndarray, going_on: bool) -> pa.RecordBatch | None:
+        """``going_on``: the rows are a part of one key's."""
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
+        key, band, name = key[fresh], band[fresh], name[fresh]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
+        length = np.diff(np.concatenate([first, [len(key)]]))
+        k, b = key[first], band[first]
+        joined = np.zeros(len(first), np.int64)  # members in the next band
+        joined[:-1] = np.where((k[1:] == k[:-1]) & (b[1:] == b[:-1] + 1), length[1:], 0)
+        hot = (length + joined > FEW) | (k == self.key) | going_on
+        a_all, b_all, hot_all = [], [], []
+
+        def add(x, y, is_hot: bool):
+            a_all.append(x if is_hot else np.minimum(x, y))
+            b_all.append(y if is_hot else np.maximum(x, y))
+            hot_all.append(np.full(len(x), is_hot))
+
+        for i in np.flatnonzero(hot | np.concatenate([[False], hot[:-1]])):
+            if k[i] != self.key:
+                self.key, self.hubs = k[i], {}
+            members = name[first[i] : first[i] + length[i]]
+            if hot[i]:
+                self.hubs.setdefault(b[i], members[0])
+            for hub in (self.hubs.get(b[i]), self.hubs.get(b[i] - 1)):
+                if hub is not None:
+                    others = members[members != hub]
+                    add(np.full(len(others), hub), others, True)
+        for m in range(1, FEW + 1):
+            for more in range(FEW + 1 - m):
+                at = first[~hot & (length == m) & (joined == more)]
+                if m + more > 1 and len(at):
+                    for x in range(m):
+                        for y in range(x + 1, m + more):
+                            add(name[at + x], name[at + y], False)
+        if not sum(map(len, a_all)):
+            return None
+        both = np.unique(np.stack([np.concatenate(a_all), np.concatenate(b_all), np.concatenate(hot_all)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(bool))], ["a", "b", "hot"])
 
 
 def _candidates(keys: DataFrame) -> DataFrame:
-    """Distinct (a, b, hot) from keys that several classes share: pairs if they are few, else hub and member."""
+    """Distinct (a, b, hot) from keys that several classes of like size share: pairs if they are few, else hub and
+    member."""
 
     def run(batches):
-        held: list[np.ndarray] | None = None
-        hub_key = hub = None
-
-        def emit(key, name, whole: bool):
-            """Pairs of complete runs; ``whole`` False: the rows belong to one run that goes on."""
-            nonlocal hub_key, hub
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-            key, name = key[fresh], name[fresh]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            length = np.diff(np.concatenate([first, [len(key)]]))
-            a, b, hot = [], [], []
-            for i in np.flatnonzero((length > FEW) | (key[first] == hub_key) if hub_key is not None else length > FEW) if whole else [0]:
-                if key[first[i]] != hub_key:
-                    hub_key, hub = key[first[i]], name[first[i]]
-                members = name[first[i] : first[i] + length[i]]
-                members = members[members != hub]
-                a.append(np.full(len(members), hub))
-                b.append(members)
-                hot.append(np.ones(len(members), bool))
-                length[i] = 0
-            for m in range(2, FEW + 1):
-                at = first[length == m]
-                for x in range(m):
-                    for y in range(x + 1, m):
-                        a.append(np.minimum(name[at + x], name[at + y]))
-                        b.append(np.maximum(name[at + x], name[at + y]))
-                        hot.append(np.zeros(len(at), bool))
-            if a and sum(map(len, a)):
-                both = np.unique(np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(hot)]), axis=1)
-                return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(bool))], ["a", "b", "hot"])
-            return None
-
+        held, runs = None, Runs()
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy()]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 24, batch.column(2).to_numpy()]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if cut and (out := emit(held[0][:cut], held[1][:cut], True)):
+            if cut and (out := runs.pairs(*[x[:cut] for x in held], False)):
                 yield out
             held = [x[cut:] for x in held]
             if len(held[0]) > HELD:
-                if out := emit(*held, False):
+                if out := runs.pairs(*held, True):
                     yield out
                 held = [x[:0] for x in held]
-        if held is not None and len(held[0]) and (out := emit(*held, True)):
+        if held is not None and len(held[0]) and (out := runs.pairs(*held, False)):
             yield out
 
-    dealt = keys.repartition("key").sortWithinPartitions("key", F.desc("weight"), "class").select("key", "class")
+    dealt = keys.repartition("key").sortWithinPartitions("key", "place", "class")
     return dealt.mapInArrow(run, "a long, b long, hot boolean").groupBy("a", "b").agg(F.max("hot").alias("hot"))
 
 
@@ -269,13 +287,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(names[rows]), lists], ["class", "set"])
 
-    return docs.join(wanted, "id").select("text", "class").mapInArrow(run, "class long, set array<long>")
+    return sized_join(docs, wanted, "id").select("text", "class").mapInArrow(run, "class long, set array<long>")
 
 
 def _linked(near: DataFrame, docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
     names = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = names.join(classes, "class").where("first is not null").select(F.col("first").alias("id"), "class")
+    wanted = written(wanted, "wanted")
     sets = written(_sets(docs, wanted, shape), "sets")
     both = near.join(sets.withColumnsRenamed({"class": "b", "set": "sb"}), "b").join(sets.withColumnsRenamed({"class": "a", "set": "sa"}), "a").select("a", "b", "sa", "sb")
     percent = shape.percent
