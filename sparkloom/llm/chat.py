@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.durable import discard, written
+from sparkloom.llm.durable import written
 
 SPECIAL = re.compile(r"[\\#<]")
 SPECIAL_ROLE = re.compile(r"[\\#<:]")
@@ -80,25 +80,23 @@ def best_paths(trees: DataFrame, branches: int = 1) -> DataFrame:
     step = written(nodes.select("conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jumps")
     parents = step.where("up is not null").select("conv", F.col("up").alias("node")).distinct()
     leaves = step.select("conv", "node").join(parents, ["conv", "node"], "left_anti")
-    jumps = []
-    open_before = None
-    while True:
-        still_open = step.where("up is not null").count()
-        if still_open == 0 or (open_before == still_open and 1 << len(jumps) > still_open):
-            break  # all at a root, or what is left runs in circles
-        open_before = still_open
-        jumps.append(step)
-        above = step.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        far = step.join(above, ["conv", "up"], "left")
-        step = written(far.select("conv", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "jumps")
-    ranked = leaves.join(step.where("up is null"), ["conv", "node"])
+    rooted, below = step.where("up is null"), step.where("up is not null")  # only those below a root take part in a round
+    jumps, still = [], below.count()
+    while still:
+        jumps.append(below.select("conv", "node", "up"))
+        above = rooted.unionAll(below).select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        far = below.join(above, ["conv", "up"])
+        step = written(far.select("conv", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), "jumps")
+        rooted, below, before = rooted.unionAll(step.where("up is null")), step.where("up is not null"), still
+        still = below.count()
+        if still == before and 1 << len(jumps) > still:
+            break  # what is left runs in circles
+    ranked = leaves.join(rooted, ["conv", "node"])
     order = Window.partitionBy("conv").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     paths = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("conv", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("above"))
     for k in reversed(range(len(jumps))):
-        jump = jumps[k].where("up is not null").select("conv", "node", "up")
-        paths = paths.unionAll(paths.join(jump, ["conv", "node"]).select("conv", "leaf", "rank", F.col("up").alias("node"), F.col("above") + F.lit(1 << k)))
+        paths = paths.unionAll(paths.join(jumps[k], ["conv", "node"]).select("conv", "leaf", "rank", F.col("up").alias("node"), F.col("above") + F.lit(1 << k)))
         paths = written(paths, "paths")
-    discard(*jumps)
     return paths
 
 
