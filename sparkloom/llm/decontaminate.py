@@ -150,10 +150,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 
 def _merged(rows: DataFrame, parts, scanner, schema: str) -> DataFrame:
-    """Several passes; the hits of a document's passes meet by its id and text hash."""
-    total = None
+    """Several passes; the hits of all passes over a document meet by its id and a hash of its text."""
+    passes = None
     keyed = rows.withColumn("h", F.xxhash64("t"))
-    for i, windows in enumerate(parts):
+    for windows in parts:
         inner = scanner(windows)
 
         def run(batches, inner=inner):
@@ -163,29 +163,24 @@ def _merged(rows: DataFrame, parts, scanner, schema: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*out.columns, batch.column(2).slice(done, out.num_rows)], [*out.schema.names, "h"])
                     done += out.num_rows
 
-        one = keyed.mapInArrow(run, schema + ", h long")
-        if total is None:
-            total = one
-            continue
-        one = one.where("n_hit > 0").groupBy("id", "h").agg(F.first("items").alias("items_"), F.first("spans").alias("spans_"))
-        both = total.join(one, total["id"].eqNullSafe(one["id"]) & (total["h"] == one["h"]), "left").drop(one["id"]).drop(one["h"])
-        spans = F.udf(join_spans, "array<struct<s:long,e:long>>")
-        total = both.select("id", "n_words", "n_hit", F.when(F.col("items_").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "items_"))).alias("items"), F.when(F.col("spans_").isNull(), F.col("spans")).otherwise(spans("spans", "spans_")).alias("spans"), "h")
-    texts = keyed.groupBy("id", "h").agg(F.first("t").alias("t"))
-    joined = total.join(texts, total["id"].eqNullSafe(texts["id"]) & (total["h"] == texts["h"]), "left").drop(texts["id"])
-    hits = F.udf(lambda t, spans: sum(len(normal_words((t or "")[s["s"] : s["e"]])) for s in spans), "long")
-    return joined.select("id", "n_words", hits("t", "spans").alias("n_hit"), "items", "spans")
-
-
-def join_spans(a: list, b: list) -> list[tuple[int, int]]:
-    """The union of two sorted lists of spans."""
-    out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in [*a, *b]):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
+        one = keyed.mapInArrow(run, schema + ", h long").where("n_hit > 0").select("id", "h", "items", "spans")
+        passes = one if passes is None else passes.unionAll(one)
+    hits = passes.groupBy(F.col("id").alias("id_"), F.col("h").alias("h_")).agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("found"))
+    both = keyed.join(hits, keyed["id"].eqNullSafe(hits["id_"]) & (keyed["h"] == hits["h_"]), "left")
+    found = F.udf(joined_spans, "struct<n_words:long,n_hit:long,spans:array<struct<s:long,e:long>>>")
+    items = F.coalesce(F.array_sort(F.array_distinct("items")), F.array().cast("array<string>"))
+    return both.select("id", found("t", "found").alias("f"), items.alias("items")).select("id", "f.n_words", "f.n_hit", "items", "f.spans")
+
+
+def joined_spans(text: str | None, spans: list | None) -> tuple[int, int, list[tuple[int, int]]]:
+    """Words, hit words and maximal spans of a text from spans that may overlap or touch."""
+    text, out = text or "", []
+    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+        if out and (s <= out[-1][1] or not normal_words(text[out[-1][1] : s])):
+            out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+            out.append((s, e))
+    return len(normal_words(text)), sum(len(normal_words(text[s:e])) for s, e in out), out
 
 
 def contaminated_removed(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", n: int = WINDOW, max_windows: int = 1_000_000) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, decontaminate, html_model, html_pages, language, licenses, line_dedup, ngram_join, packing, quality, sharding
+from sparkloom.llm.oracles import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,7 +34,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = quality.quality_rules(docs, keep_text=False)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +73,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+    return licenses.license_scan(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}
-SQL: dict[str, str] = {}
