@@ -5,11 +5,12 @@ number, has a Jaccard similarity of ``percent`` or more to it, no matter whether
 than ``min_words`` distinct words are left alone.
 
 Lines of one word set are one class, whose first line is its earliest. Words are ordered by rarity, counted over all
-lines in a table of fixed size; classes that share one of their first n - ceil(t n) + 1 words, have sizes that allow the
-similarity (length filter, by bands of sizes) and can still reach the overlap after the shared word's places (positional
-filter) are candidates, and their Jaccard similarity is verified. Where many classes share a word, each is first verified
-against the earliest of them only; what no earlier line has removed by then is compared with the others in blocks, by
-sketches and then by whole sets, so a group of near copies costs no list of all its pairs.
+lines in a table of fixed size; a class sends its first n - ceil(t n) + 1 words. Classes that share one of these are
+compared where they meet: by size (length filter), by the overlap that can still follow the shared word (positional
+filter) and by parity sketches of 64 bits, whose Hamming distance is at most the symmetric difference. Pairs that pass
+are verified on their whole sets. Of a class with many such partners under one word only the NEAREST by sketch are sent
+at first, so a group of near copies costs no list of all its pairs; a class that these have not removed although it has
+more is looked up again, with all its partners, in a second round.
 
 Null text: no lines. Empty lines stay. Repeated rows: the lines of the second copy go, as do those of any copy (rows that
 share an id and a line number are one place). A document whose lines all go is left with an empty text.
@@ -23,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textscan as ts
-from sparkloom.llm.durable import discard, sized_join, written
-from sparkloom.llm.ngram_join import BLOCK, COUNTERS, FEW, HELD, Shape, _folded, _sketch, class_ids
+from sparkloom.llm.durable import BROADCAST_ROWS, discard, sized_join, written
+from sparkloom.llm.ngram_join import HELD, Shape, class_ids
 
 LINE = ~ts.byte_table("\n")
+#: Counters of words. Fixed: words that share a counter are only ordered less well.
+COUNTERS = 1 << 22
+#: Up to so many classes that share a word, all pairs that pass the filters are sent; else so many per class.
+FEW, NEAREST = 5, 3
 
 
 class Lines:
@@ -54,8 +59,8 @@ class Lines:
 
 
 def _named(docs: DataFrame, how: Lines) -> DataFrame:
-    """(id, line, n, class, sketch) of each line that counts, and the counters of each task as rows (counter, hits)."""
-    names_out = ["id", "line", "n", "class", "sketch", "counter", "hits"]
+    """(id, line, class) of each line that counts, and the counters of each task as rows (counter, hits)."""
+    names_out = ["id", "line", "class", "counter", "hits"]
 
     def run(batches):
         counters, id_type = np.zeros(COUNTERS, np.int64), None
@@ -64,117 +69,130 @@ def _named(docs: DataFrame, how: Lines) -> DataFrame:
             for start, end, data, offsets in ts.slices(batch.column(1)):
                 rows, number, bounds, values = how.sets(data, offsets)
                 counters += np.bincount((values & ts.U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                sketches = pa.array([_sketch(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
                 none = pa.nulls(len(rows), pa.int64())
                 ids = batch.column(0).slice(start, end - start).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(class_ids(bounds, values).view(np.int64)), sketches, none, none], names_out)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number, pa.int64()), pa.array(class_ids(bounds, values).view(np.int64)), none, none], names_out)
         used = np.flatnonzero(counters)
         if len(used):
             none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), none, none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(counters[used])], names_out)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), none, none, pa.array(used), pa.array(counters[used])], names_out)
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, line long, n long, class long, sketch binary, counter long, hits long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, line long, class long, counter long, hits long")
 
 
 def _keys(docs: DataFrame, how: Lines, counts: np.ndarray) -> DataFrame:
-    """(key, band, n, place, early, class): the rare words that each line sends, once per class and task."""
+    """(key, n, place, sketch, early, class): the rare words that each line sends. A task sends a class again only for
+    an earlier line, so the least ``early`` of a class is right."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        counts, seen = sent.value, set()
+        counts, seen = sent.value, {}
         for batch in batches:
             for start, end, data, offsets in ts.slices(batch.column(1)):
                 rows, number, bounds, values = how.sets(data, offsets)
                 names, sizes = class_ids(bounds, values).view(np.int64), np.diff(bounds)
+                early = batch.column(2).slice(start, end - start).to_numpy()[rows]
                 new = np.zeros(len(sizes), bool)
-                for i, name in enumerate(names.tolist()):
-                    if name not in seen:
+                for i, (name, at) in enumerate(zip(names.tolist(), early.tolist(), strict=True)):
+                    if seen.get(name, at + 1) > at:
                         new[i] = True
-                        seen.add(name)
+                        seen[name] = at
                 if len(seen) > 1_000_000:
                     seen.clear()
-                values, rows, names, sizes = values[np.repeat(new, sizes)], rows[new], names[new], sizes[new]
+                values, names, sizes, early = values[np.repeat(new, sizes)], names[new], sizes[new], early[new]
                 line = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((values, counts[values & ts.U(COUNTERS - 1)], line))
                 first = np.cumsum(sizes) - sizes
+                bits = ts.U(1) << (ts.mix(values) & ts.U(63))
+                sketch = np.bitwise_xor.reduceat(bits, first) if len(sizes) else np.zeros(0, ts.U)
+                order = np.lexsort((values, counts[values & ts.U(COUNTERS - 1)], line))
                 place = np.arange(len(values)) - first[line]
                 keep = place <= how.spare(sizes)[line]
                 line, place, key = line[keep], place[keep], values[order][keep]
-                early = batch.column(2).slice(start, end - start).to_numpy()[rows]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(how.shape.bands(sizes)[line].astype(np.int32)), pa.array(sizes[line].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(early[line]), pa.array(names[line])],
-                    ["key", "band", "n", "place", "early", "class"],
+                    [pa.array(key.view(np.int64)), pa.array(sizes[line].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sketch.view(np.int64)[line]), pa.array(early[line]), pa.array(names[line])],
+                    ["key", "n", "place", "sketch", "early", "class"],
                 )
 
-    return docs.mapInArrow(run, "key long, band int, n int, place int, early long, class long")
-
-
-class Runs:
-    """Turns classes that share a word, in ascending order of their size bands, into candidate pairs."""
-
-    def __init__(self, how: Lines):
-        self.how, self.key, self.hubs = how, None, {}
-
-    def pairs(self, key, band, n, place, name, going_on: bool) -> pa.RecordBatch | None:
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-        key, band, n, place, name = key[fresh], band[fresh], n[fresh].astype(np.int64), place[fresh], name[fresh]
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (band[1:] != band[:-1])]))
-        length = np.diff(np.concatenate([first, [len(key)]]))
-        k, b = key[first], band[first]
-        joined = np.zeros(len(first), np.int64)  # members in the next band
-        joined[:-1] = np.where((k[1:] == k[:-1]) & (b[1:] == b[:-1] + 1), length[1:], 0)
-        hot = (length + joined > FEW) | (k == self.key) | going_on
-        found = []
-        for i in np.flatnonzero(hot | np.concatenate([[False], hot[:-1]])):
-            if k[i] != self.key:
-                self.key, self.hubs = k[i], {}
-            members = name[first[i] : first[i] + length[i]]
-            if hot[i]:
-                self.hubs.setdefault(b[i], members[0])
-            for hub in (self.hubs.get(b[i]), self.hubs.get(b[i] - 1)):
-                if hub is not None:
-                    others = members[members != hub]
-                    found.append(np.stack([np.full(len(others), hub), others, np.ones(len(others), np.int64)]))
-        percent = self.how.percent
-        for m in range(1, FEW + 1):
-            for more in range(FEW + 1 - m):
-                at = first[~hot & (length == m) & (joined == more)]
-                for x in range(m if len(at) else 0):
-                    for y in range(x + 1, m + more):
-                        i, j = at + x, at + y
-                        reach = 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
-                        ok = (100 + percent) * reach >= percent * (n[i] + n[j])  # positional filter
-                        i, j = i[ok], j[ok]
-                        found.append(np.stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j]), np.zeros(len(i), np.int64)]))
-        if not found or not sum(x.shape[1] for x in found):
-            return None
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(bool))], ["a", "b", "hot"])
+    return docs.mapInArrow(run, "key long, n int, place int, sketch long, early long, class long")
+
+
+def _close(how: Lines, n1, p1, s1, n2, p2, s2) -> np.ndarray:
+    """Whether sizes, places of the shared word and sketches allow the similarity."""
+    total = n1 + n2
+    reach = np.minimum(n1 - p1, n2 - p2)
+    return (n1 * 100 >= n2 * how.percent) & (n2 * 100 >= n1 * how.percent) & ((100 + how.percent) * reach >= how.percent * total) & (np.bitwise_count(s1 ^ s2) <= how.shape.apart(n1, n2))
+
+
+def _pairs_of(how: Lines, key, n, place, sketch, early, name, whole: bool) -> pa.RecordBatch | None:
+    """Candidate pairs (a, b) of complete runs of keys, ``more`` if b has partners that aren't sent. ``whole`` False:
+    the rows are a part of one key's, so all its classes have more."""
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
+    key, n, place, sketch, early, name = (x[fresh] for x in (key, n.astype(np.int64), place.astype(np.int64), sketch.view(ts.U), early, name))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    length = np.diff(np.concatenate([first, [len(key)]]))
+    found = []
+    for m in range(2, FEW + 1):
+        at = first[length == m]
+        for x in range(m if len(at) else 0):
+            for y in range(x + 1, m):
+                i, j = at + x, at + y
+                ok = _close(how, n[i], place[i], sketch[i], n[j], place[j], sketch[j])
+                found.append(np.stack([np.minimum(name[i[ok]], name[j[ok]]), np.maximum(name[i[ok]], name[j[ok]]), np.zeros(int(ok.sum()), np.int64)]))
+    for run in np.flatnonzero((length > FEW) | (not whole)):
+        a, b = first[run], first[run] + length[run]
+        order = np.argsort(n[a:b], kind="stable") + a
+        size, where, bits, seen, names = n[order], place[order], sketch[order], early[order], name[order]
+        low = np.searchsorted(size, -(-size * how.percent // 100), "left")
+        high = np.searchsorted(size, how.shape.largest(size), "right")
+        for y in range(len(order)):
+            x = np.arange(low[y], high[y])
+            x = x[(seen[x] <= seen[y]) & (x != y)]
+            x = x[_close(how, size[x], where[x], bits[x], size[y], where[y], bits[y])]
+            more = int(len(x) > NEAREST or not whole)
+            if len(x) > NEAREST:
+                x = x[np.argpartition(np.bitwise_count(bits[x] ^ bits[y]), NEAREST)[:NEAREST]]
+            if len(x) or more:
+                partners = names[x] if len(x) else names[y : y + 1]
+                found.append(np.stack([partners, np.full(len(partners), names[y]), np.full(len(partners), more)]))
+    if not found or not sum(f.shape[1] for f in found):
+        return None
+    both = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(bool))], ["a", "b", "more"])
 
 
 def _candidates(keys: DataFrame, how: Lines) -> DataFrame:
-    """Distinct (a, b, hot) of classes that share a rare word and are of like size."""
+    """Distinct (a, b, more) of classes that share a rare word and may be similar; a = b only carries ``more``."""
 
     def run(batches):
-        held, runs = None, Runs(how)
+        held = None
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(5)]
+            new = [batch.column(i).to_numpy() for i in range(6)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if cut and (out := runs.pairs(*[x[:cut] for x in held], False)):
+            if cut and (out := _pairs_of(how, *[x[:cut] for x in held], True)):
                 yield out
             held = [x[cut:] for x in held]
             if len(held[0]) > HELD:
-                if out := runs.pairs(*held, True):
+                if out := _pairs_of(how, *held, False):
                     yield out
                 held = [x[:0] for x in held]
-        if held is not None and len(held[0]) and (out := runs.pairs(*held, False)):
+        if held is not None and len(held[0]) and (out := _pairs_of(how, *held, True)):
             yield out
 
-    dealt = keys.repartition("key").sortWithinPartitions("key", "band", "early", "class").select("key", "band", "n", "place", "class")
-    return dealt.mapInArrow(run, "a long, b long, hot boolean").groupBy("a", "b").agg(F.max("hot").alias("hot"))
+    dealt = keys.repartition("key").sortWithinPartitions("key", "class", "early")
+    return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def _all_partners(keys: DataFrame, asking: DataFrame, how: Lines) -> DataFrame:
+    """Distinct (a, b) of the asking classes b with every class that shares a rare word and may be similar."""
+    mine = written(keys.join(F.broadcast(asking) if asking.count() <= BROADCAST_ROWS else asking, "class").distinct(), "asking")
+    other = mine.withColumnsRenamed({c: f"{c}_" for c in mine.columns if c != "key"})
+    n, n_, percent = F.col("n"), F.col("n_"), how.percent
+    close = (n * 100 >= n_ * percent) & (n_ * 100 >= n * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_"))) <= F.expr(f"((n + n_) * {100 - percent}) div {100 + percent}"))
+    pairs = sized_join(keys.select("key", "n", "sketch", "early", "class"), other, "key").where(close & (F.col("early") <= F.col("early_")) & (F.col("class") != F.col("class_")))
+    return pairs.select(F.col("class").alias("a"), F.col("class_").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, how: Lines) -> DataFrame:
@@ -208,23 +226,6 @@ def _linked(near: DataFrame, docs: DataFrame, classes: DataFrame, how: Lines) ->
     return links
 
 
-def _close(pairs: DataFrame, classes: DataFrame, how: Lines) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity."""
-    left = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    right = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    near = (F.col("na") * 100 >= F.col("nb") * how.percent) & (F.col("nb") * 100 >= F.col("na") * how.percent)
-    both = pairs.select("a", "b").join(left, "b").join(right, "a").where(near).select("a", "b", "na", "nb", "ka", "kb")
-
-    def run(batches):
-        for batch in batches:
-            limits = how.shape.apart(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            pairs = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
-            keep = [np.bitwise_count(np.bitwise_xor(*_folded(list(p)))).sum() <= limit for p, limit in zip(pairs, limits, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
 def _later(links: DataFrame, classes: DataFrame) -> DataFrame:
     """The classes whose first line comes after that of a similar class."""
     place = classes.select("class", F.struct("id", "line").alias("at"))
@@ -232,61 +233,27 @@ def _later(links: DataFrame, classes: DataFrame) -> DataFrame:
     return links.join(a, "a").join(b, "b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("class")).distinct()
 
 
-def _left_over(hubs: DataFrame, gone: DataFrame, docs: DataFrame, classes: DataFrame, how: Lines) -> DataFrame:
-    """Classes among the members of hubs that an earlier member, other than the hub, is similar to."""
-    members = hubs.select(F.col("a").alias("hub"), F.col("b").alias("class")).join(gone.select("class", F.lit(True).alias("gone")), "class", "left")
-    members = written(members.select("hub", "class", F.col("gone").isNull().alias("asks")), "members")
-    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.count_if("asks").alias("asking")).where("asking > 0 and m > 1")
-    placed = members.join(sizes.select("hub", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "hub")
-    placed = written(placed.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "members")
-    if placed.isEmpty():
-        return gone.limit(0)
-    wanted = placed.select("class").distinct().join(classes.select("class", "id", "line"), "class")
-    sets = written(_sets(docs, wanted, how).join(wanted, "class"), "sets")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    base = placed.select("hub", "class", every.alias("y"), F.col("own").alias("x"), F.lit(False).alias("asks"))
-    asking = placed.where("asks").select("hub", "class", every.alias("x"), F.col("own").alias("y"), F.lit(True).alias("asks"))
-    cells = base.select("hub", "class", "x", "y", "asks").unionAll(asking.select("hub", "class", "x", "y", "asks")).join(sets, "class")
-    percent = how.percent
-
-    def compare(table: pa.Table) -> pa.Table:
-        name, asks = table["class"].to_numpy(), table["asks"].to_numpy()
-        at = list(zip(table["id"].to_pylist(), table["line"].to_pylist(), strict=True))
-        rank = np.argsort(np.array(sorted(range(len(at)), key=lambda i: at[i])))
-        values = [np.asarray(s.values).view(np.uint64) for s in table["set"].combine_chunks()]
-        n = np.array([len(v) for v in values])
-        flat = _folded([_sketch(v) for v in values])
-        base, found = np.flatnonzero(~asks), []
-        for i in np.flatnonzero(asks):
-            close = (np.bitwise_count(flat[base] ^ flat[i]).sum(axis=1) <= how.shape.apart(n[base], n[i])) & (rank[base] < rank[i]) & (name[base] != name[i])
-            for j in base[close]:
-                shared = len(np.intersect1d(values[i], values[j], assume_unique=True))
-                if 100 * shared >= percent * (n[i] + n[j] - shared):
-                    found.append(name[i])
-                    break
-        return pa.table({"class": pa.array(found, pa.int64())})
-
-    return cells.groupBy("hub", "x", "y").applyInArrow(compare, "class long").distinct()
-
-
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
     """(id, lines): the numbers (from 0) of the lines that go, for each document that loses any."""
     how = Lines(percent, min_words)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     named = written(_named(rows, how), "lines")
-    counts = np.zeros(COUNTERS, np.int64)
-    table = named.where("counter is not null").groupBy("counter").agg(F.sum("hits").alias("hits")).toArrow()
-    counts[table["counter"].to_numpy()] = table["hits"].to_numpy()
-    lines = named.where("counter is null").select("id", "line", "n", "class", "sketch")
-    classes = lines.groupBy("class").agg(F.min(F.struct("id", "line")).alias("at"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
-    classes = written(classes.select("class", "at.id", "at.line", "n", "sketch"), "classes")
-    # the order in which hubs are chosen; any order is right, the lines' own saves work
+    counts = np.ones(COUNTERS, np.int32)
+    table = named.where("counter is not null").groupBy("counter").agg(F.sum("hits").alias("hits")).where("hits > 1").toArrow()
+    counts[table["counter"].to_numpy()] = np.minimum(table["hits"].to_numpy(), np.iinfo(np.int32).max)
+    lines = named.where("counter is null").select("id", "line", "class")
+    classes = lines.groupBy("class").agg(F.min(F.struct("id", "line")).alias("at"))
+    classes = written(classes.select("class", "at.id", "at.line"), "classes")
+    # a bound on which lines can be earlier: documents of one value count as earlier than each other
     numeric = rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
-    early = F.col("id").cast("long") if numeric else F.xxhash64("id")
-    pairs = written(_candidates(_keys(rows.select("id", "text", early.alias("early")), how, counts), how), "pairs")
-    gone = written(_later(_linked(written(_close(pairs, classes, how), "near"), rows, classes, how), classes), "gone")
-    more = _left_over(pairs.where("hot"), gone, rows, classes, how)
-    gone = written(gone.unionAll(more).distinct(), "gone")
+    early = F.col("id").cast("long") if numeric else F.lit(0).cast("long")
+    keys = _keys(rows.select("id", "text", early.alias("early")), how, counts)
+    pairs = written(_candidates(keys, how), "pairs")
+    gone = written(_later(_linked(pairs.where("a <> b").select("a", "b"), rows, classes, how), classes), "gone")
+    asking = written(pairs.where("more").select(F.col("b").alias("class")).distinct().join(gone, "class", "left_anti"), "asking")
+    if not asking.isEmpty():
+        near = written(_all_partners(keys, asking, how).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near")
+        gone = written(gone.unionAll(_later(_linked(near, rows, classes, how), classes)).distinct(), "gone")
     firsts = classes.select("class", F.col("id").alias("id_"), F.col("line").alias("line_"))
     judged = lines.select("id", "line", "class").join(firsts, "class").join(gone.select("class", F.lit(True).alias("gone")), "class", "left")
     bad = judged.where(F.col("gone").isNotNull() | (F.col("id") != F.col("id_")) | (F.col("line") != F.col("line_")))
