@@ -21,8 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; a document that loses all its words goes."""
-    out = _recounted(docs, line_dedup.without_lines(docs))
-    return out.where(F.col("text").isNull() | (F.col("n_chars") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _recounted(docs, line_dedup.without_lines(docs, drop_emptied=True))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
