@@ -32,6 +32,8 @@ LINE = ~ts.byte_table("\n")
 COUNTERS = 1 << 22
 #: Up to so many classes that share a word, all pairs that pass the filters are sent; else so many per class.
 FEW, NEAREST = 5, 3
+#: Rows of a sketch comparison.
+BLOCK = 256
 
 
 class Lines:
@@ -138,22 +140,28 @@ def _pairs_of(how: Lines, key, n, place, sketch, early, name, whole: bool) -> pa
                 i, j = at + x, at + y
                 ok = _close(how, n[i], place[i], sketch[i], n[j], place[j], sketch[j])
                 found.append(np.stack([np.minimum(name[i[ok]], name[j[ok]]), np.maximum(name[i[ok]], name[j[ok]]), np.zeros(int(ok.sum()), np.int64)]))
+    limit = how.shape.apart(n, how.shape.largest(n))
+    y_all, x_all = [], []
     for run in np.flatnonzero((length > FEW) | (not whole)):
         a, b = first[run], first[run] + length[run]
-        order = np.argsort(n[a:b], kind="stable") + a
-        size, where, bits, seen, names = n[order], place[order], sketch[order], early[order], name[order]
-        low = np.searchsorted(size, -(-size * how.percent // 100), "left")
-        high = np.searchsorted(size, how.shape.largest(size), "right")
-        for y in range(len(order)):
-            x = np.arange(low[y], high[y])
-            x = x[(seen[x] <= seen[y]) & (x != y)]
-            x = x[_close(how, size[x], where[x], bits[x], size[y], where[y], bits[y])]
-            more = int(len(x) > NEAREST or not whole)
-            if len(x) > NEAREST:
-                x = x[np.argpartition(np.bitwise_count(bits[x] ^ bits[y]), NEAREST)[:NEAREST]]
-            if len(x) or more:
-                partners = names[x] if len(x) else names[y : y + 1]
-                found.append(np.stack([partners, np.full(len(partners), names[y]), np.full(len(partners), more)]))
+        for at in range(a, b, BLOCK):
+            mine = slice(at, min(at + BLOCK, b))
+            apart = np.bitwise_count(sketch[mine, None] ^ sketch[None, a:b])
+            y, x = np.nonzero((apart <= limit[mine, None]) & (early[None, a:b] <= early[mine, None]))
+            y_all.append(y + at)
+            x_all.append(x + a)
+    if y_all:
+        y, x = np.concatenate(y_all), np.concatenate(x_all)
+        ok = (x != y) & _close(how, n[x], place[x], sketch[x], n[y], place[y], sketch[y])
+        y, x = y[ok], x[ok]
+        order = np.lexsort((np.bitwise_count(sketch[x] ^ sketch[y]), y))
+        y, x = y[order], x[order]
+        partners = np.bincount(y, minlength=len(name))
+        rank = np.arange(len(y)) - (np.cumsum(partners) - partners)[y]
+        nearest = rank < NEAREST
+        found.append(np.stack([name[x[nearest]], name[y[nearest]], (partners[y[nearest]] > NEAREST).astype(np.int64)]))
+    if not whole:
+        found.append(np.stack([name, name, np.ones(len(name), np.int64)]))
     if not found or not sum(f.shape[1] for f in found):
         return None
     both = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -261,9 +269,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return bad.groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("lines")).withColumnRenamed("id", id_col)
 
 
-def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 5) -> DataFrame:
-    """The documents with their lines removed; columns and rows of ``docs``, other texts unchanged."""
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, min_words: int = 5, drop_emptied: bool = False) -> DataFrame:
+    """The documents with their lines removed; columns and rows of ``docs``, other texts unchanged. ``drop_emptied``: a
+    document that has lost lines and has no word left goes."""
     gone = written(removed_lines(docs, id_col, text_col, percent, min_words).withColumnsRenamed({"lines": "_lines"}), "removed")
     joined = sized_join(docs, gone, id_col, "left")
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(_lines, cast(i as bigint))), '\\n')")
-    return joined.withColumn(text_col, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    out = joined.withColumn(text_col, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(kept))
+    if drop_emptied:
+        out = out.where(F.col("_lines").isNull() | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(docs.columns)
