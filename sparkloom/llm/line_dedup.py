@@ -7,7 +7,7 @@ than ``min_words`` distinct words are left alone.
 Lines of one word set are one class, whose first line is its earliest. Words are ordered by rarity, counted over all
 lines in a table of fixed size; a class sends its first n - ceil(t n) + 1 words. Classes that share one of these are
 compared where they meet: by size (length filter), by the overlap that can still follow the shared word (positional
-filter) and by parity sketches of 64 bits, whose Hamming distance is at most the symmetric difference. Pairs that pass
+filter) and by parity sketches of 128 bits, whose Hamming distance is at most the symmetric difference. Pairs that pass
 are verified on their whole sets. Of a class with many such partners under one word only the NEAREST by sketch are sent
 at first, so a group of near copies costs no list of all its pairs; a class that these have not removed although it has
 more is looked up again, with all its partners, in a second round.
@@ -31,7 +31,7 @@ LINE = ~ts.byte_table("\n")
 #: Counters of words. Fixed: words that share a counter are only ordered less well.
 COUNTERS = 1 << 22
 #: Up to so many classes that share a word, all pairs that pass the filters are sent; else so many per class.
-FEW, NEAREST = 5, 3
+FEW, NEAREST = 5, 8
 #: Rows of a sketch comparison.
 BLOCK = 256
 
@@ -83,7 +83,7 @@ def _named(docs: DataFrame, how: Lines) -> DataFrame:
 
 
 def _keys(docs: DataFrame, how: Lines, counts: np.ndarray) -> DataFrame:
-    """(key, n, place, sketch, early, class): the rare words that each line sends. A task sends a class again only for
+    """(key, n, place, bits, more_bits, early, class): the rare words that each line sends. A task sends a class again only for
     an earlier line, so the least ``early`` of a class is right."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -104,32 +104,39 @@ def _keys(docs: DataFrame, how: Lines, counts: np.ndarray) -> DataFrame:
                 values, names, sizes, early = values[np.repeat(new, sizes)], names[new], sizes[new], early[new]
                 line = np.repeat(np.arange(len(sizes)), sizes)
                 first = np.cumsum(sizes) - sizes
-                bits = ts.U(1) << (ts.mix(values) & ts.U(63))
-                sketch = np.bitwise_xor.reduceat(bits, first) if len(sizes) else np.zeros(0, ts.U)
-                order = np.lexsort((values, counts[values & ts.U(COUNTERS - 1)], line))
+                spot = ts.mix(values)
+                one, high = ts.U(1) << (spot & ts.U(63)), (spot & ts.U(64)) > 0
+                sketch = [np.bitwise_xor.reduceat(np.where(half, one, ts.U(0)), first) if len(sizes) else np.zeros(0, ts.U) for half in (~high, high)]
+                order = ts.within_rows(line, np.argsort(counts[values & ts.U(COUNTERS - 1)], kind="stable"), len(sizes))  # equals: by value
                 place = np.arange(len(values)) - first[line]
                 keep = place <= how.spare(sizes)[line]
                 line, place, key = line[keep], place[keep], values[order][keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(sizes[line].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(sketch.view(np.int64)[line]), pa.array(early[line]), pa.array(names[line])],
-                    ["key", "n", "place", "sketch", "early", "class"],
+                    [pa.array(key.view(np.int64)), pa.array(sizes[line].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(half.view(np.int64)[line]) for half in sketch], pa.array(early[line]), pa.array(names[line])],
+                    ["key", "n", "place", "bits", "more_bits", "early", "class"],
                 )
 
-    return docs.mapInArrow(run, "key long, n int, place int, sketch long, early long, class long")
+    return docs.mapInArrow(run, "key long, n int, place int, bits long, more_bits long, early long, class long")
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The Hamming distance of sketches, two words each."""
+    return np.bitwise_count(a[0] ^ b[0]) + np.bitwise_count(a[1] ^ b[1])
 
 
 def _close(how: Lines, n1, p1, s1, n2, p2, s2) -> np.ndarray:
     """Whether sizes, places of the shared word and sketches allow the similarity."""
     total = n1 + n2
     reach = np.minimum(n1 - p1, n2 - p2)
-    return (n1 * 100 >= n2 * how.percent) & (n2 * 100 >= n1 * how.percent) & ((100 + how.percent) * reach >= how.percent * total) & (np.bitwise_count(s1 ^ s2) <= how.shape.apart(n1, n2))
+    return (n1 * 100 >= n2 * how.percent) & (n2 * 100 >= n1 * how.percent) & ((100 + how.percent) * reach >= how.percent * total) & (_apart(s1, s2) <= how.shape.apart(n1, n2))
 
 
-def _pairs_of(how: Lines, key, n, place, sketch, early, name, whole: bool) -> pa.RecordBatch | None:
+def _pairs_of(how: Lines, key, n, place, bits, more_bits, early, name, whole: bool) -> pa.RecordBatch | None:
     """Candidate pairs (a, b) of complete runs of keys, ``more`` if b has partners that aren't sent. ``whole`` False:
     the rows are a part of one key's, so all its classes have more."""
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-    key, n, place, sketch, early, name = (x[fresh] for x in (key, n.astype(np.int64), place.astype(np.int64), sketch.view(ts.U), early, name))
+    key, n, place, early, name = (x[fresh] for x in (key, n.astype(np.int64), place.astype(np.int64), early, name))
+    sketch = np.stack([bits[fresh], more_bits[fresh]]).view(ts.U)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.concatenate([first, [len(key)]]))
     found = []
@@ -138,7 +145,7 @@ def _pairs_of(how: Lines, key, n, place, sketch, early, name, whole: bool) -> pa
         for x in range(m if len(at) else 0):
             for y in range(x + 1, m):
                 i, j = at + x, at + y
-                ok = _close(how, n[i], place[i], sketch[i], n[j], place[j], sketch[j])
+                ok = _close(how, n[i], place[i], sketch[:, i], n[j], place[j], sketch[:, j])
                 found.append(np.stack([np.minimum(name[i[ok]], name[j[ok]]), np.maximum(name[i[ok]], name[j[ok]]), np.zeros(int(ok.sum()), np.int64)]))
     limit = how.shape.apart(n, how.shape.largest(n))
     y_all, x_all = [], []
@@ -146,15 +153,15 @@ def _pairs_of(how: Lines, key, n, place, sketch, early, name, whole: bool) -> pa
         a, b = first[run], first[run] + length[run]
         for at in range(a, b, BLOCK):
             mine = slice(at, min(at + BLOCK, b))
-            apart = np.bitwise_count(sketch[mine, None] ^ sketch[None, a:b])
+            apart = _apart(sketch[:, mine, None], sketch[:, None, a:b])
             y, x = np.nonzero((apart <= limit[mine, None]) & (early[None, a:b] <= early[mine, None]))
             y_all.append(y + at)
             x_all.append(x + a)
     if y_all:
         y, x = np.concatenate(y_all), np.concatenate(x_all)
-        ok = (x != y) & _close(how, n[x], place[x], sketch[x], n[y], place[y], sketch[y])
+        ok = (x != y) & _close(how, n[x], place[x], sketch[:, x], n[y], place[y], sketch[:, y])
         y, x = y[ok], x[ok]
-        order = np.lexsort((np.bitwise_count(sketch[x] ^ sketch[y]), y))
+        order = np.lexsort((_apart(sketch[:, x], sketch[:, y]), y))
         y, x = y[order], x[order]
         partners = np.bincount(y, minlength=len(name))
         rank = np.arange(len(y)) - (np.cumsum(partners) - partners)[y]
@@ -174,7 +181,7 @@ def _candidates(keys: DataFrame, how: Lines) -> DataFrame:
     def run(batches):
         held = None
         for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(6)]
+            new = [batch.column(i).to_numpy() for i in range(7)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(held[0]):
                 continue
@@ -193,13 +200,16 @@ def _candidates(keys: DataFrame, how: Lines) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def _all_partners(keys: DataFrame, asking: DataFrame, how: Lines) -> DataFrame:
-    """Distinct (a, b) of the asking classes b with every class that shares a rare word and may be similar."""
-    mine = written(keys.join(F.broadcast(asking) if asking.count() <= BROADCAST_ROWS else asking, "class").distinct(), "asking")
+def _all_partners(keys: DataFrame, own: DataFrame, asking: DataFrame, how: Lines) -> DataFrame:
+    """Distinct (a, b) of the asking classes b with every class that shares a rare word and may be similar. ``own``: the
+    keys of the documents where the asking classes first stand."""
+    mine = written(own.join(F.broadcast(asking) if asking.count() <= BROADCAST_ROWS else asking, "class").distinct(), "asking")
     other = mine.withColumnsRenamed({c: f"{c}_" for c in mine.columns if c != "key"})
     n, n_, percent = F.col("n"), F.col("n_"), how.percent
-    close = (n * 100 >= n_ * percent) & (n_ * 100 >= n * percent) & (F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch_"))) <= F.expr(f"((n + n_) * {100 - percent}) div {100 + percent}"))
-    pairs = sized_join(keys.select("key", "n", "sketch", "early", "class"), other, "key").where(close & (F.col("early") <= F.col("early_")) & (F.col("class") != F.col("class_")))
+    reach = (100 + percent) * F.least(n - F.col("place"), n_ - F.col("place_")) >= percent * (n + n_)
+    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_"))) + F.bit_count(F.col("more_bits").bitwiseXOR(F.col("more_bits_")))
+    close = (n * 100 >= n_ * percent) & (n_ * 100 >= n * percent) & reach & (apart <= F.expr(f"((n + n_) * {100 - percent}) div {100 + percent}"))
+    pairs = sized_join(keys, other, "key").where(close & (F.col("early") <= F.col("early_")) & (F.col("class") != F.col("class_")))
     return pairs.select(F.col("class").alias("a"), F.col("class_").alias("b")).distinct()
 
 
@@ -255,12 +265,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a bound on which lines can be earlier: documents of one value count as earlier than each other
     numeric = rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
     early = F.col("id").cast("long") if numeric else F.lit(0).cast("long")
-    keys = _keys(rows.select("id", "text", early.alias("early")), how, counts)
+    ranks = np.minimum(256 * np.log2(counts), 65535).astype(np.uint16)  # in order of rarity, and short enough to sort by radix
+    dated = rows.select("id", "text", early.alias("early"))
+    keys = _keys(dated, how, ranks)
     pairs = written(_candidates(keys, how), "pairs")
     gone = written(_later(_linked(pairs.where("a <> b").select("a", "b"), rows, classes, how), classes), "gone")
     asking = written(pairs.where("more").select(F.col("b").alias("class")).distinct().join(gone, "class", "left_anti"), "asking")
     if not asking.isEmpty():
-        near = written(_all_partners(keys, asking, how).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near")
+        places = written(asking.join(classes, "class").select("id").distinct(), "places")
+        own = _keys(sized_join(dated, places, "id").select("id", "text", "early"), how, ranks)
+        near = written(_all_partners(keys, own, asking, how).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "near")
         gone = written(gone.unionAll(_later(_linked(near, rows, classes, how), classes)).distinct(), "gone")
     firsts = classes.select("class", F.col("id").alias("id_"), F.col("line").alias("line_"))
     judged = lines.select("id", "line", "class").join(firsts, "class").join(gone.select("class", F.lit(True).alias("gone")), "class", "left")

@@ -133,9 +133,14 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n: int, n_rows: int) -> tuple
     return np.concatenate(all_rows), np.concatenate(all_values)
 
 
+def within_rows(rows: np.ndarray, order: np.ndarray, n_rows: int) -> np.ndarray:
+    """Bring an order of entries into rows, keeping it inside each row. Short row numbers sort by radix."""
+    return order[np.argsort(rows[order].astype(np.uint16 if n_rows <= 1 << 16 else np.int64), kind="stable")]
+
+
 def distinct(rows: np.ndarray, values: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values in ascending order, with the row bounds."""
-    order = np.lexsort((values, rows))
+    order = within_rows(rows, np.argsort(values), n_rows)
     rows, values = rows[order], values[order]
     if len(rows):
         keep = np.concatenate([[True], (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])])
