@@ -148,25 +148,21 @@ def _pairs_of(how: Lines, key, n, place, bits, more_bits, early, name, whole: bo
                 ok = _close(how, n[i], place[i], sketch[:, i], n[j], place[j], sketch[:, j])
                 found.append(np.stack([np.minimum(name[i[ok]], name[j[ok]]), np.maximum(name[i[ok]], name[j[ok]]), np.zeros(int(ok.sum()), np.int64)]))
     limit = how.shape.apart(n, how.shape.largest(n))
-    y_all, x_all = [], []
     for run in np.flatnonzero((length > FEW) | (not whole)):
         a, b = first[run], first[run] + length[run]
-        for at in range(a, b, BLOCK):
+        for at in range(a, b, BLOCK):  # a block sees all partners of its lines in the run, so it is cut to NEAREST at once
             mine = slice(at, min(at + BLOCK, b))
             apart = _apart(sketch[:, mine, None], sketch[:, None, a:b])
             y, x = np.nonzero((apart <= limit[mine, None]) & (early[None, a:b] <= early[mine, None]))
-            y_all.append(y + at)
-            x_all.append(x + a)
-    if y_all:
-        y, x = np.concatenate(y_all), np.concatenate(x_all)
-        ok = (x != y) & _close(how, n[x], place[x], sketch[:, x], n[y], place[y], sketch[:, y])
-        y, x = y[ok], x[ok]
-        order = np.lexsort((_apart(sketch[:, x], sketch[:, y]), y))
-        y, x = y[order], x[order]
-        partners = np.bincount(y, minlength=len(name))
-        rank = np.arange(len(y)) - (np.cumsum(partners) - partners)[y]
-        nearest = rank < NEAREST
-        found.append(np.stack([name[x[nearest]], name[y[nearest]], (partners[y[nearest]] > NEAREST).astype(np.int64)]))
+            y, x = y + at, x + a
+            ok = (x != y) & _close(how, n[x], place[x], sketch[:, x], n[y], place[y], sketch[:, y])
+            y, x = y[ok], x[ok]
+            order = np.lexsort((_apart(sketch[:, x], sketch[:, y]), y))
+            y, x = y[order], x[order]
+            partners = np.bincount(y - at, minlength=mine.stop - at)
+            rank = np.arange(len(y)) - (np.cumsum(partners) - partners)[y - at]
+            nearest = rank < NEAREST
+            found.append(np.stack([name[x[nearest]], name[y[nearest]], (partners[y[nearest] - at] > NEAREST).astype(np.int64)]))
     if not whole:
         found.append(np.stack([name, name, np.ones(len(name), np.int64)]))
     if not found or not sum(f.shape[1] for f in found):
@@ -176,25 +172,33 @@ def _pairs_of(how: Lines, key, n, place, bits, more_bits, early, name, whole: bo
 
 
 def _candidates(keys: DataFrame, how: Lines) -> DataFrame:
-    """Distinct (a, b, more) of classes that share a rare word and may be similar; a = b only carries ``more``."""
+    """Distinct (a, b, more) of classes that share a rare word and may be similar; a = b only carries ``more``. All parts of
+    a key of more than HELD rows count as parts, the last included, as none of them sees the others."""
 
     def run(batches):
-        held = None
+        held, parted = None, None
+
+        def found(rows):
+            """The pairs of some rows, of which those of the key in parts stand in front."""
+            part = 0 if parted is None else int(np.searchsorted(rows[0], parted, "right"))
+            for some, whole in (([x[:part] for x in rows], False), ([x[part:] for x in rows], True)):
+                if len(some[0]) and (out := _pairs_of(how, *some, whole)):
+                    yield out
+
         for batch in batches:
             new = [batch.column(i).to_numpy() for i in range(7)]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1], "left"))
-            if cut and (out := _pairs_of(how, *[x[:cut] for x in held], True)):
-                yield out
+            yield from found([x[:cut] for x in held])
             held = [x[cut:] for x in held]
             if len(held[0]) > HELD:
-                if out := _pairs_of(how, *held, False):
-                    yield out
+                parted = held[0][0]
+                yield from found(held)
                 held = [x[:0] for x in held]
-        if held is not None and len(held[0]) and (out := _pairs_of(how, *held, True)):
-            yield out
+        if held is not None:
+            yield from found(held)
 
     dealt = keys.repartition("key").sortWithinPartitions("key", "class", "early")
     return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))

@@ -85,6 +85,26 @@ def test_line_dedup_of_near_copies(spark, seed, monkeypatch):
     assert {r.doc_id: list(r["lines"]) for r in out.collect()} == brute.lost_lines(texts)
 
 
+def test_line_dedup_of_a_key_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HELD", 40)
+    rng = random.Random(3)
+    rows = []
+    for i in range(50):  # i and i + 50 are alike; rows are sorted by class, so no part holds both
+        bits = rng.getrandbits(63), rng.getrandbits(63)
+        rows += [(7, 10, 0, *bits, at, at) for at in (i, i + 50)]
+    rows += [(8, 10, 0, 5, 5, at, at) for at in (200, 201)]
+    keys = spark.createDataFrame(rows, "key long, n int, place int, bits long, more_bits long, early long, class long")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = [tuple(r) for r in line_dedup._candidates(keys, line_dedup.Lines(80, 5)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    pairs, more = {(a, b) for a, b, _ in got}, {b for _, b, m in got if m}
+    assert [i for i in range(50) if (i, i + 50) not in pairs and i + 50 not in more] == []
+    assert (200, 201) in pairs and not more & {200, 201}
+
+
 def test_line_dedup_edges(spark):
     edges = brute.edges(spark)
     once = edges.dropDuplicates(["doc_id"])
