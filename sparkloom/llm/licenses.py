@@ -1,11 +1,13 @@
 """Operator 10: license scans, in DataFrame functions only.
 
 Every text is lower-cased (A-Z) and cut into words. Base phrases are found where their words stand consecutively.
-Beyond these, an exact set-similarity join finds every text block (a line, or two lines with nothing of a template between them) that contains a
-share of ``threshold`` or more of a license template's distinct words: the template words are ordered by how often they
-occur in the whole corpus, a block is a candidate if it holds one of the first |T| - ceil(threshold |T|) + 1 (the rarest)
-of a template, is long enough, and can still reach the overlap after the place of that first match; candidates are
-verified by their whole overlap. Words outside the templates cannot match, so blocks are reduced to template words first.
+Beyond these, an exact set-similarity join finds every text block that contains a share of ``threshold`` or more of a
+license template's distinct words. A block is a run of lines with nothing of a template between them, of at most as many
+lines as the template has words: one wrapped at any width fits. The template words are ordered by how often they
+occur in the whole corpus, a text is a candidate if it holds one of the first |T| - ceil(threshold |T|) + 1 (the rarest)
+of a template, has enough words, and can still reach the overlap after the place of that first match. As a longer run holds
+no less, each candidate is verified by the longest runs, one from each of its lines. Words outside the templates cannot
+match, so lines are reduced to template words first.
 
 Null text counts as empty: no words, no labels, null places. Rows that share id and text share their result.
 """
@@ -83,7 +85,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def template_matches(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(id, h, label, containment) of every block of ``rows`` (id, text) that meets the threshold; h: a hash of the text."""
+    """(id, h, label, containment) of each text of ``rows`` (id, text) with a block that meets the threshold, of its best
+    block; h: a hash of the text."""
     spark = rows.sparkSession
     known = sorted({w for t in TEMPLATES.values() for w in t.split()})
     vocabulary = F.array(*[F.lit(w) for w in known])
@@ -100,16 +103,17 @@ def template_matches(rows: DataFrame, threshold: float = 0.9) -> DataFrame:
         words = sorted(set(text.split()), key=rank.__getitem__)
         need = math.ceil(threshold * len(words) - 1e-9)
         for place, word in enumerate(words[: len(words) - need + 1]):
-            first_words.append((word, label, place, len(words), need, words))
-    shortest = min(need for *_, need, _ in first_words)
-    prefixes = spark.createDataFrame(first_words, "word string, label string, place int, size int, need int, template array<string>")
-    neighbours = F.zip_with(F.expr("slice(lines, 1, size(lines) - 1)"), F.expr("slice(lines, 2, size(lines))"), F.array_union)
+            first_words.append((word, label, place, len(words), need, words, len(text.split())))
+    shortest = min(need for *_, need, _, _ in first_words)
+    prefixes = spark.createDataFrame(first_words, "word string, label string, place int, size int, need int, template array<string>, span int")
     ordered = F.array(*[F.lit(w) for w in ranked])
-    blocks = held.select("id", "h", F.explode(F.concat("lines", neighbours)).alias("words")).where(F.size("words") >= shortest)
-    blocks = blocks.select("id", "h", F.array_intersect(ordered, F.col("words")).alias("words"))
-    tokens = blocks.select("id", "h", "words", F.posexplode("words").alias("at", "word"))
+    texts = held.select("id", "h", "lines", F.array_intersect(ordered, F.flatten("lines")).alias("words")).where(F.size("words") >= shortest)
+    tokens = texts.select("id", "h", "lines", "words", F.posexplode("words").alias("at", "word"))
     candidates = tokens.join(F.broadcast(prefixes), "word").where(
         (F.size("words") >= F.col("need")) & (F.least(F.size("words") - F.col("at"), F.col("size") - F.col("place")) >= F.col("need"))
     )
-    overlap = F.size(F.array_intersect("words", "template"))
-    return candidates.where(overlap >= F.col("need")).select("id", "h", "label", (overlap / F.col("size")).alias("containment")).distinct()
+    shared = F.array_intersect("words", "template")
+    candidates = candidates.where((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("word")))  # once a text and template
+    runs = F.expr("transform(sequence(1, size(lines)), i -> size(array_intersect(template, flatten(slice(lines, i, span)))))")
+    best = candidates.select("id", "h", "label", "size", "need", F.array_max(runs).alias("overlap")).where(F.col("overlap") >= F.col("need"))
+    return best.select("id", "h", "label", (F.col("overlap") / F.col("size")).alias("containment")).distinct()

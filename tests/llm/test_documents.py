@@ -1,5 +1,6 @@
 """Operators 1, 3, 4, 7, 9 and 10: edge cases and comparison with plain Python."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -227,3 +228,26 @@ def test_template_words_in_any_order_of_rarity(spark):
     assert [(r.label, round(r.containment, 9)) for r in found] == [("mit-text", round((len(words) - 1) / len(words), 9))]
 
 
+def test_templates_wrapped_over_many_lines(spark):
+    texts = []
+    for label, t in licenses.TEMPLATES.items():
+        words = t.split()
+        texts += [(label, "\n".join(" * " + " ".join(words[i : i + m]) for i in range(0, len(words), m))) for m in (1, 3, 5)]
+    # too far apart: lines of another template's words stand between
+    texts.append(("", "\n".join(f"{w}\n" + "permission\n" * 5 for w in licenses.TEMPLATES["bsd"].split())))
+    rng = random.Random(5)
+    known = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    for _ in range(60):
+        words = licenses.TEMPLATES[rng.choice(sorted(licenses.TEMPLATES))].split()
+        texts.append((None, "".join(w + rng.choice([" ", " ", "\n", "\nplainly\n", f"\n{rng.choice(known)}\n"]) for w in words if rng.random() < 0.97)))
+    want = {}
+    for k, (_, text) in enumerate(texts):
+        lines = [x for x in (set(brute.normal(line)) & set(known) for line in text.split("\n")) if x]
+        for label, t in licenses.TEMPLATES.items():
+            words = set(t.split())
+            best = max((len(words & set().union(*lines[i : i + m])) for i in range(len(lines)) for m in range(1, len(t.split()) + 1)), default=0)
+            if best >= 0.9 * len(words) - 1e-9:
+                want[k, label] = round(best / len(words), 9)
+    found = licenses.template_matches(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "id int, text string")).collect()
+    assert {(r.id, r.label): round(r.containment, 9) for r in found} == want and len(found) == len(want)
+    assert all((k, label) in want for k, (label, _) in enumerate(texts) if label) and (30, "bsd") not in want
