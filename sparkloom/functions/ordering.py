@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 
-def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+def numbered(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
     """The rows with their position (from 0) in the given order. Sorting is by range, and each partition only learns how
     many rows stand before it, so no task sees all rows as a global window would make it."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
+from sparkloom.functions.ordering import numbered
 
 UNASSIGNED = "Unassigned"
 SECRETS = ("hashed_password",)
@@ -62,6 +63,12 @@ def sorted_nulls_last(df: DataFrame, column: str, descending: bool = False, key:
     return df.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), key)
 
 
+def numbered_nulls_last(df: DataFrame, column: str, descending: bool = False, key: str = "id") -> DataFrame:
+    """All rows with their position (from 1) in the order of :func:`sorted_nulls_last`."""
+    first = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+    return numbered(df, first, key).withColumn("position", F.col("position") + 1)
+
+
 def recent(df: DataFrame, n: int = 5, ts: str | None = None, key: str = "id") -> DataFrame:
     return df.orderBy(*([F.desc(ts)] if ts else []), key).limit(n)
 

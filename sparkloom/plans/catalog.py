@@ -289,6 +289,11 @@ def sort_nulls_last(spark, d):
     return first.select("id", "owner_id", F.row_number().over(Window.orderBy(F.col("owner_id").desc_nulls_last(), "id")).cast("long").alias("position"))
 
 
+@query(f"WITH {V.TRACKER} SELECT id, owner_id, row_number() OVER (ORDER BY owner_id DESC NULLS LAST, id) AS position FROM projects")
+def sort_nulls_last_all(spark, d):
+    return relate.numbered_nulls_last(V.projects(spark, d).select("id", "owner_id"), "owner_id", True)
+
+
 @query(f"WITH {V.TRACKER} SELECT id, title FROM tasks ORDER BY ts DESC NULLS LAST, id LIMIT 5")
 def recent_n(spark, d):
     return relate.recent(V.tasks(spark, d), 5, "ts").select("id", "title")

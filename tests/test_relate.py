@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
 from sparkloom.operators import changes, relate
+from sparkloom.plans import catalog
+from sparkloom.plans import views as V
 
 
 @pytest.fixture(scope="module")
@@ -103,3 +105,10 @@ def test_toggle_delete_orphan(spark, tracker):
     left, unknown = changes.deletes(tasks, spark.createDataFrame([(1,), (50,)], "id int"))
     assert left.count() == 3 and [r.id for r in unknown.collect()] == [50]
     assert [r.project_id for r in changes.orphaned(tasks, "project_id", spark.createDataFrame([(1,)], "id int")).orderBy("id").collect()] == [None, None, 2, 7]
+
+
+def test_all_projects_are_sorted_and_those_without_owner_come_last(spark, tables):
+    rows = catalog.QUERIES["sort_nulls_last_all"](spark, tables).collect()
+    want = sorted(((r.id, r.owner_id) for r in V.projects(spark, tables).collect()), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert [(r.id, r.owner_id) for r in sorted(rows, key=lambda r: r.position)] == want and sorted(r.position for r in rows) == list(range(1, len(want) + 1))
+    assert len(want) > 100 and want[-1][1] is None
