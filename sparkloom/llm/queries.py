@@ -23,14 +23,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("best").alias("lang_pred"), "score", F.col("lang").isNull().alias("rejected"))
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_dedup(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = line_dedup.removed_lines(docs)
+    gone = line_dedup.removed_lines(docs, **how)
     lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     out = lines.join(gone, "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<bigint>")))
     return out.select("doc_id", "n_lines", F.size("lines").cast("long").alias("n_removed"), F.col("lines").alias("removed_lines"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_dedup(spark, sf_dir)
+
+
+def op2_line_dedup_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word takes part, short ones too."""
+    return _line_dedup(spark, sf_dir, min_words=1)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
     out = quality.quality_rules(docs, keep_text=False)
@@ -76,4 +85,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op2_line_dedup_all_lines, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}

@@ -85,6 +85,14 @@ def test_line_dedup_of_near_copies(spark, seed, monkeypatch):
     assert {r.doc_id: list(r["lines"]) for r in out.collect()} == brute.lost_lines(texts)
 
 
+def test_line_dedup_of_short_lines(spark, tables, docs):
+    want = brute.lost_lines([(r.doc_id, r.text) for r in docs.collect()], 1)
+    got = {r.doc_id: sorted(r.removed_lines) for r in queries.QUERIES["op2_line_dedup_all_lines"](spark, tables).collect() if r.n_removed}
+    assert got == want
+    menu = spark.createDataFrame([(1, "Home\nLog in\n\nread more"), (2, "home\nabout\n\nMore read\nlog"), (3, "log in")], "doc_id int, text string")
+    assert {r.doc_id: list(r["lines"]) for r in line_dedup.removed_lines(menu, min_words=1).collect()} == {2: [0, 3], 3: [0]}
+
+
 def test_line_dedup_of_a_key_in_parts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HELD", 40)
     rng = random.Random(3)
