@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +12,11 @@ _WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, a local folder in local mode, else the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-loom-", dir="/tmp")
-    else:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loom"
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loom"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -40,14 +36,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-#: Rows (of ids and short values) up to which one side of a join is sent to every task.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of its files, up to which one side of a join is sent to every task.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
 
-def sized_join(df: DataFrame, keys: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join ``df`` with ``keys``, a frame from :func:`written` of ids and short values: sent to every task if it has at
-    most BROADCAST_ROWS rows, so that the rows of ``df`` stay where they are; else both sides are shuffled."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+def is_small(df: DataFrame) -> bool:
+    """Whether a frame from :func:`written` may be sent to every task: measured, in bytes of its files and in rows."""
+    folder = _folder(df.sparkSession, df._loom_path)
+    return folder[0].getContentSummary(folder[1]).getLength() <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS
+
+
+def sized_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join ``df`` with ``keys``, a frame from :func:`written`, on columns of both in which nulls are equal; the columns of
+    ``df``, then the others of ``keys``. Small ``keys`` are sent to every task, so that the rows of ``df`` stay where they
+    are; else both sides are shuffled."""
+    on = [on] if isinstance(on, str) else on
+    other = keys.withColumnsRenamed({c: f"{c}__" for c in on})
+    match = [df[c].eqNullSafe(other[f"{c}__"]) for c in on]
+    joined = df.join(F.broadcast(other) if is_small(keys) else other, match, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"{c}__" for c in on])
 
 
 def discard(*frames: DataFrame) -> None:
@@ -58,10 +65,14 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _folder(spark, path)
+    files.delete(target, True)
     if path in _WRITTEN:
         _WRITTEN.remove(path)
 

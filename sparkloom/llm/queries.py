@@ -23,21 +23,17 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("best").alias("lang_pred"), "score", F.col("lang").isNull().alias("rejected"))
 
 
-def _line_dedup(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = line_dedup.removed_lines(docs, **how)
-    lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = lines.join(gone, "doc_id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<bigint>")))
+    gone = line_dedup.removed_lines(docs)
+    lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = lines.join(gone, ["doc_id", "h"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<bigint>")))
     return out.select("doc_id", "n_lines", F.size("lines").cast("long").alias("n_removed"), F.col("lines").alias("removed_lines"))
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_dedup(spark, sf_dir)
-
-
 def op2_line_dedup_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line with a word takes part, short ones too."""
-    return _line_dedup(spark, sf_dir, min_words=1)
+    """The same: operator 2 takes every line with a word, short ones too."""
+    return op2_line_dedup(spark, sf_dir)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

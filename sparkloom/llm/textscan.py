@@ -25,7 +25,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 BASE = 0x5851F42D4C957F2D
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK = 1 << 20
+#: Bytes of text that are scanned at once: what is derived from them stays in the processor's caches.
+CHUNK = 1 << 17
 
 
 def byte_table(inside: str | bytes, complement: bool = False) -> np.ndarray:

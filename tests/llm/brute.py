@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 SPACED = re.compile("[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -83,28 +85,35 @@ def components(docs):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def lost_lines(docs, min_words=5):
-    """{id: [line]} of operator 2 for [(id, text)] with one text per id."""
+def spark_hash(text):
+    """Spark's xxhash64 of a text."""
+    return xxhash.xxh64(text.encode(), seed=42).intdigest() - (1 << 64 if xxhash.xxh64(text.encode(), seed=42).intdigest() >> 63 else 0)
+
+
+def lost_lines(docs, min_words=1):
+    """{(id, text): [line]} of operator 2 for [(id, text)]; equal rows are one document."""
     places = []
-    for i, t in sorted(docs, key=lambda x: x[0]):
-        for k, line in enumerate((t or "").split("\n")):
+    for i, t in sorted({(i, t) for i, t in docs if t}, key=lambda x: (x[0] is not None, x[0] or 0, spark_hash(x[1]))):
+        for k, line in enumerate(t.split("\n")):
             s = frozenset(SPACED.findall(line.translate(UPPER)))
             if len(s) >= min_words:
-                places.append((i, k, s))
+                places.append((i, t, k, s))
     first, gone = {}, set()
-    for i, k, s in places:
-        first.setdefault(s, (i, k))
+    for i, t, k, s in places:
+        first.setdefault(s, (i, t, k))
     sets = list(first)
     for b in range(len(sets)):
         for a in range(b):
+            if len(sets[a]) * 100 < 80 * len(sets[b]) or len(sets[b]) * 100 < 80 * len(sets[a]):
+                continue
             shared = len(sets[a] & sets[b])
             if 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
                 gone.add(sets[b])
                 break
     out = defaultdict(list)
-    for i, k, s in places:
-        if s in gone or first[s] != (i, k):
-            out[i].append(k)
+    for i, t, k, s in places:
+        if s in gone or first[s] != (i, t, k):
+            out[i, t].append(k)
     return dict(out)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import line_dedup, ngram_join, queries
@@ -69,62 +70,82 @@ def test_ngram_join_threshold_is_exact(spark):
     assert got == brute.components(texts)
 
 
+def lost(out):
+    """{(id, hash of the text): lines} of removed_lines."""
+    return {(r.doc_id, r.h): list(r["lines"]) for r in out.collect()}
+
+
+def hashed(want):
+    return {(i, brute.spark_hash(t)): lines for (i, t), lines in want.items()}
+
+
 def test_line_dedup_equals_brute_force(spark, tables, docs):
     want = brute.lost_lines([(r.doc_id, r.text) for r in docs.collect()])
-    got = {r.doc_id: sorted(r.removed_lines) for r in queries.op2_line_dedup(spark, tables).collect() if r.n_removed}
-    assert got == want
+    for query in ("op2_line_dedup", "op2_line_dedup_all_lines"):
+        got = {r.doc_id: sorted(r.removed_lines) for r in queries.QUERIES[query](spark, tables).collect() if r.n_removed}
+        assert got == {i: lines for (i, _), lines in want.items()}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_of_near_copies(spark, seed, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HELD", 40)  # keys of many classes are taken in parts
+@pytest.mark.parametrize("small", [False, True])
+def test_line_dedup_of_near_copies(spark, seed, small, monkeypatch):
+    if small:  # keys are taken in parts, words are split by size, long runs are led
+        for name, value in {"HELD": 40, "HOT": 8, "LONG": 10, "LEADERS": 3, "STEP": 64, "REMEMBERED": 4}.items():
+            monkeypatch.setattr(line_dedup, name, value)
     rng = random.Random(seed)
     lines = [" ".join(rng.sample(t.split(), min(len(t.split()), 30))) for t in near_copies(60, seed)] + [t for t in near_copies(60, seed + 9)]
+    lines += [" ".join(f"s{rng.randint(0, 9)}" for _ in range(rng.randint(1, 7))) for _ in range(60)]
     texts = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 4)))) for i in range(120)]
     out = line_dedup.removed_lines(spark.createDataFrame(texts, "doc_id int, text string").repartition(5))
-    assert {r.doc_id: list(r["lines"]) for r in out.collect()} == brute.lost_lines(texts)
+    assert lost(out) == hashed(brute.lost_lines(texts))
+    out = line_dedup.removed_lines(spark.createDataFrame([(f"{i}", t) for i, t in texts], "doc_id string, text string"), percent=80, min_words=5)
+    assert lost(out) == hashed(brute.lost_lines([(f"{i}", t) for i, t in texts], 5))
 
 
-def test_line_dedup_of_short_lines(spark, tables, docs):
-    want = brute.lost_lines([(r.doc_id, r.text) for r in docs.collect()], 1)
-    got = {r.doc_id: sorted(r.removed_lines) for r in queries.QUERIES["op2_line_dedup_all_lines"](spark, tables).collect() if r.n_removed}
-    assert got == want
-    menu = spark.createDataFrame([(1, "Home\nLog in\n\nread more"), (2, "home\nabout\n\nMore read\nlog"), (3, "log in")], "doc_id int, text string")
-    assert {r.doc_id: list(r["lines"]) for r in line_dedup.removed_lines(menu, min_words=1).collect()} == {2: [0, 3], 3: [0]}
+def test_line_dedup_of_short_repeated_and_null_rows(spark):
+    menu = [(1, "Home\nLog in\n\nread more"), (2, "home\nabout\n\nMore read\nlog"), (3, "log in")]
+    assert lost(line_dedup.removed_lines(spark.createDataFrame(menu, "doc_id int, text string"))) == hashed({menu[1]: [0, 3], menu[2]: [0]})
+    lines = {c: " ".join(f"{c}{i}" for i in range(8)) for c in "ABCDE"}
+    texts = [(1, f"{lines['A']}\n{lines['B']}"), (1, f"{lines['C']}\n{lines['A']}"), (2, lines["D"]), (2, lines["D"]), (None, lines["E"]), (None, f"{lines['E']} more"), (5, lines["E"]), (6, None)]
+    df = spark.createDataFrame(texts, "doc_id int, text string")
+    want = brute.lost_lines(texts)
+    assert lost(line_dedup.removed_lines(df)) == hashed(want) and len(want) == 3
+    out = sorted(((r.doc_id, r.text) for r in line_dedup.without_lines(df).collect()), key=repr)
+    kept = [(i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get((i, t), ()))) for i, t in texts]
+    assert out == sorted(kept, key=repr)  # B and C stand once and stay; rows that repeat (2, D) are one document
 
 
 def test_line_dedup_of_a_key_in_parts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HELD", 40)
     rng = random.Random(3)
     rows = []
-    for i in range(50):  # i and i + 50 are alike; rows are sorted by class, so no part holds both
+    for i in range(50):  # i and i + 50 are alike; no part need hold both
         bits = rng.getrandbits(63), rng.getrandbits(63)
         rows += [(7, 10, 0, *bits, at, at) for at in (i, i + 50)]
-    rows += [(8, 10, 0, 5, 5, at, at) for at in (200, 201)]
+    rng.shuffle(rows)
+    rows += [(8, 10, 0, 5, 5, at, at) for at in (200, 201)] + [(8, 10, 0, 5, 5, 201 + i, 201) for i in range(100)]
     keys = spark.createDataFrame(rows, "key long, n int, place int, bits long, more_bits long, early long, class long")
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        got = [tuple(r) for r in line_dedup._candidates(keys, line_dedup.Lines(80, 5)).collect()]
+        got = [tuple(r) for r in line_dedup._candidates(keys, line_dedup.Lines(80, 1)).collect()]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     pairs, more = {(a, b) for a, b, _ in got}, {b for _, b, m in got if m}
     assert [i for i in range(50) if (i, i + 50) not in pairs and i + 50 not in more] == []
-    assert (200, 201) in pairs and not more & {200, 201}
+    assert (200, 201) in pairs and not more & {200, 201}  # a class that every task has sent is one
 
 
 def test_line_dedup_edges(spark):
     edges = brute.edges(spark)
-    once = edges.dropDuplicates(["doc_id"])
-    out = line_dedup.without_lines(once)
+    out = line_dedup.without_lines(edges)
     assert out.dtypes == edges.dtypes
-    lost = brute.lost_lines([(i, t) for i, t, *_ in brute.EDGES if i != 6] + [(6, brute.SENTENCE)])
-    texts = {i: t for i, t, *_ in brute.EDGES}
-    for r in out.collect():
-        t = texts[r.doc_id]
-        assert r.text == (t if r.doc_id not in lost else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost[r.doc_id]))
-    assert sorted(lost) == [7, 8]
-    assert line_dedup.without_lines(edges).count() == len(brute.EDGES)
+    want = brute.lost_lines([(i, t) for i, t, *_ in brute.EDGES])
+    kept = [(i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get((i, t), ()))) for i, t, *_ in brute.EDGES]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(kept, key=repr)
+    assert sorted(i for i, _ in want) == [7, 8]
+    clash = edges.withColumn("_lines", F.lit(1)).withColumn("c0", F.lit(2)).withColumn("early", F.lit(3))
+    assert line_dedup.without_lines(clash).count() == len(brute.EDGES)
     assert line_dedup.without_lines(edges.limit(0)).count() == 0
 
 
@@ -139,8 +160,8 @@ def test_pipeline_stages_on_their_own_input(spark, tables):
             assert docs_out.columns == docs.columns
         docs = docs_out
     before, out = local["line dedup"]
-    lost = brute.lost_lines(list(before.items()))
-    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost.get(i, ())) for i, t in before.items()}
+    gone = brute.lost_lines(list(before.items()))
+    want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ())) for i, t in before.items()}
     assert {r.doc_id: r.text for r in out} == {i: t for i, t in want.items() if brute.SPACED.search(t)}
     assert all(r.n_chars == len(r.text) for r in out)
     before, out = local["n-gram Jaccard join"]
