@@ -17,13 +17,13 @@ lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: rege
 m AS (SELECT w.doc_id, w.source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals
     FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, chars_bad OR n_symbols > 0.1::DOUBLE * n_words OR n_dup_lines > 0.4::DOUBLE * n_lines OR n_capitals > 0.4::DOUBLE * word_chars AS broken,
-    chars_bad OR n_symbols > 0.05::DOUBLE * n_words OR n_dup_lines > 0.35::DOUBLE * n_lines OR n_capitals > 0.2::DOUBLE * word_chars AS broken_tight FROM (SELECT *, word_chars > 12 * n_words OR word_chars < 2 * n_words AS chars_bad FROM m)),
-hosts AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR broken) AS failures FROM f GROUP BY 1),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, word_chars > 12 * n_words OR word_chars < 2 * n_words AS misshapen,
+    greatest(10::DOUBLE * n_symbols / greatest(n_words, 1), 2.5::DOUBLE * n_dup_lines / greatest(n_lines, 1), 2.5::DOUBLE * n_capitals / greatest(word_chars, 1), 10::DOUBLE * n_repeat_words / (3::DOUBLE * greatest(n_words, 1))) AS burden FROM m),
+hosts AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR misshapen OR burden > 1) AS failures FROM f GROUP BY 1),
 p AS (SELECT avg(failures / docs) AS m, coalesce(var_samp(failures / docs), 0) AS v, avg(1 / docs) AS inverse FROM hosts),
 prior AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * inverse, 1e-9) - 1, 1), 10000) AS strength FROM p),
 rates AS (SELECT source, (failures + m * strength) / (docs + strength) AS host_rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (CASE WHEN host_rate > 0.5 THEN broken_tight ELSE broken END) AS kept, round(host_rate, 6) AS host_rate
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT misshapen AND burden <= greatest(0.5, 1 - host_rate) AS kept, round(host_rate, 6) AS host_rate
 FROM f LEFT JOIN rates ON f.source IS NOT DISTINCT FROM rates.source"""
 
 OP6 = r"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL

@@ -1,12 +1,13 @@
 """Operator 3: host-level quality rules.
 
 Every document is measured by rules; failures are counted by host, each host's failure rate is shrunk towards the
-corpus by a beta prior that is fitted to the hosts themselves, and the hosts' verdicts are joined back. A document of a
-trusted host goes if it fails a rule; in a distrusted host the rules are tighter. A document that no rule objects to
+corpus by a beta prior that is fitted to the hosts themselves, and the hosts' verdicts are joined back. A host's verdict is
+a tolerance, 1 less its shrunk failure rate: a document may use up that share of each rule's limit, so what passes in a
+good host goes in a bad one. Never less than ``least`` of a limit is granted, so a document that is far from all limits
 stays wherever it comes from.
 
 Null or empty text: no words, which fails the length rule. A null host is a host of its own. Repeated rows are judged
-one by one. Hosts of any size are summed in parts before they are shuffled.
+one by one. Hosts of any size are summed in parts before they are shuffled. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -90,26 +91,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def broken(share: float) -> Column:
-    """Whether a rule objects; ``share`` scales the limits (below 1: tighter)."""
+def misshapen() -> Column:
+    """Words of over 12 or under 2 characters on average."""
     words, chars = F.col("n_words"), F.col("word_chars")
-    return (
-        (F.col("n_symbols") > 0.10 * share * words)
-        | (F.col("n_dup_lines") > (0.35 + 0.10 * (share - 0.5)) * F.col("n_lines"))
-        | (F.col("n_capitals") > 0.40 * share * chars)
-        | (chars > 12 * words)
-        | (chars < 2 * words)
-    )
+    return (chars > 12 * words) | (chars < 2 * words)
+
+
+def burden() -> Column:
+    """The largest share of a limit that a document uses: symbols (a tenth of the words), repeated lines (0.4 of the lines),
+    capitals (0.4 of the characters), words in repeated windows (0.3 of the words)."""
+    words, chars, lines = (F.greatest(c, F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
+    return F.greatest(10.0 * F.col("n_symbols") / words, 2.5 * F.col("n_dup_lines") / lines, 2.5 * F.col("n_capitals") / chars, 10.0 * F.col("n_repeat_words") / (3.0 * words))
 
 
-def host_verdicts(rows: DataFrame, host_col: str = "source", limit: float = 0.5) -> DataFrame:
-    """One row per host: documents, failures, shrunk failure rate, verdict.
+def host_verdicts(rows: DataFrame, host_col: str = "source", least: float = 0.5) -> DataFrame:
+    """One row per host: documents, failures, shrunk failure rate, tolerance.
 
     The prior's mean is the mean rate of the hosts; its strength follows from the variance between hosts beyond that
     of sampling (moments), held between 1 and 10,000 documents.
     """
     hosts = rows.groupBy(F.col(host_col).alias("host")).agg(
-        F.count(F.lit(1)).alias("host_docs"), F.sum((base_failed() | broken(1.0)).cast("long")).alias("host_failures")
+        F.count(F.lit(1)).alias("host_docs"), F.sum((base_failed() | misshapen() | (burden() > 1)).cast("long")).alias("host_failures")
     )
     hosts = written(hosts, "hosts")
     rate = F.col("host_failures") / F.col("host_docs")
@@ -118,24 +120,27 @@ def host_verdicts(rows: DataFrame, host_col: str = "source", limit: float = 0.5)
     between = F.greatest(F.col("v") - spread * F.col("inverse"), F.lit(1e-9))
     prior = prior.select("m", F.least(F.greatest(spread / between - 1, F.lit(1.0)), F.lit(10_000.0)).alias("strength"))
     shrunk = (F.col("host_failures") + F.col("m") * F.col("strength")) / (F.col("host_docs") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > limit).alias("host_distrusted"))
+    rates = hosts.join(F.broadcast(prior)).select("host", "host_docs", "host_failures", shrunk.alias("host_rate"))
+    return rates.withColumn("tolerance", F.greatest(F.lit(least), 1 - F.col("host_rate")))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep_text: bool = True) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep_text: bool = True, least: float = 0.5) -> DataFrame:
     """The rows with MEASURES, base_failed, host_rate and kept (columns of these names are replaced).
 
     The measures are taken twice, once for the hosts and once for the result, which costs less than to move texts.
     """
+    new = [*MEASURES, "base_failed", "host_rate", "kept"]
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     narrow = docs.select(F.col(text_col).alias("text"), F.col(host_col).alias("source"))
-    hosts = host_verdicts(measured(narrow, keep_text=False)).select("host", "host_rate", "host_distrusted")
-    rows = measured(docs.drop("base_failed", "host_rate", "host_distrusted", "kept", "host"), text_col, keep_text)
-    judged = rows.join(hosts, rows[host_col].eqNullSafe(hosts["host"]), "left").drop("host")
-    bad = F.when(F.col("host_distrusted"), broken(0.5)).otherwise(broken(1.0))
-    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~bad)
+    hosts = host_verdicts(measured(narrow, keep_text=False), least=least).select("host", "host_rate", "tolerance")
+    rows = measured(docs.toDF(*names.values()), names[text_col], keep_text)
+    judged = rows.join(hosts, rows[names[host_col]].eqNullSafe(hosts["host"]), "left").withColumn("base_failed", base_failed())
+    judged = judged.withColumn("kept", ~F.col("base_failed") & ~misshapen() & (burden() <= F.col("tolerance")))
+    return judged.select(*[F.col(name).alias(c) for c, name in names.items() if c not in new and (keep_text or c != text_col)], *new)
 
 
 def accepted(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that :func:`quality_rules` keeps, with the columns of ``docs``."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    names = [f"_{i}" for i in range(len(docs.columns))]
     places = [names[docs.columns.index(c)] for c in (text_col, host_col)]
     return quality_rules(docs.toDF(*names), *places).where("kept").select(names).toDF(*docs.columns)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, language, licenses, packing, quality, queries, sharding
 from tests.llm import brute
@@ -83,6 +84,29 @@ def test_quality_distrusts_a_bad_host_but_keeps_its_clean_documents(spark):
     docs = spark.createDataFrame([(i, junk, "bad") for i in range(50)] + [(60, clean, "bad"), (61, faint, "bad")] + [(i, clean, "good") for i in range(70, 120)] + [(130, faint, "good")], "doc_id int, text string, source string")
     kept = {r.doc_id for r in quality.accepted(docs).collect()}
     assert kept == {60, 130, *range(70, 120)}
+    named = docs.withColumnRenamed("source", "host").withColumn("tolerance", F.lit("x"))
+    out = quality.quality_rules(named, host_col="host")
+    assert out.columns[:4] == ["doc_id", "text", "host", "tolerance"] and {r.doc_id for r in out.where("kept").collect()} == kept
+
+
+def test_quality_verdict_follows_the_rate_of_the_host(spark):
+    """A document at a given share of a limit stays in a host exactly as long as the host's shrunk rate leaves that share."""
+    clean, junk = " ".join(f"word{i}" for i in range(40)), " ".join(f"word{i}###" for i in range(40))
+    rows = []
+    for bad in range(0, 100, 10):  # hosts with 0 to 90 of 100 documents that fail, and a document for each share of the symbol limit
+        rows += [(junk if i < bad else clean, f"h{bad}", 3.0 if i < bad else 0.0) for i in range(100)]
+        rows += [(" ".join(f"word{i}" + ("*" if i < s else "") for i in range(40)), f"h{bad}", s / 4) for s in range(1, 5)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, text string, source string, share double")
+    out = quality.quality_rules(docs).collect()
+    assert all(r.kept == (r.share <= max(0.5, 1 - r.host_rate)) for r in out)
+    alone = {r.doc_id for r in out if r.share <= 1}  # what the rules would keep without their hosts
+    assert len(alone - {r.doc_id for r in out if r.kept}) > 10 and all(r.kept for r in out if r.share <= 0.5)
+
+
+def test_quality_host_verdicts_decide_rows_of_the_tables(spark, tables):
+    out = quality.quality_rules(spark.read.parquet(f"{tables.replace('sf0.001', 'sf0.01')}/documents.parquet"), keep_text=False)
+    alone = out.where(~F.col("base_failed") & ~quality.misshapen() & (quality.burden() <= 1))
+    assert 0 < alone.where("not kept").count() < 0.01 * alone.count()
 
 
 # 4
