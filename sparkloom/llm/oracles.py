@@ -33,13 +33,13 @@ whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || tex
     sum(14 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')))::BIGINT AS formatted_chars FROM rows GROUP BY 1)
 SELECT conv_id, n_turns, sha256(t) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM whole"""
 
-OP7 = f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+OP7 = f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS ws FROM benchmark),
 wins AS (SELECT DISTINCT item, least(len(ws), 10) AS m, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS win FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),
 sizes AS (SELECT DISTINCT m FROM wins), docs AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 places AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS win FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM docs, sizes WHERE len(ws) >= m)),
 hits AS (SELECT doc_id, i, wins.m, item FROM places JOIN wins USING (m, win)),
 covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(m)) AS j FROM hits) GROUP BY 1),
-named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY 1)
 SELECT docs.doc_id, len(ws) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered c USING (doc_id) LEFT JOIN named t USING (doc_id)"""
 

@@ -49,7 +49,7 @@ def decontamination(docs, items, n=10):
     for i, t in items:
         w = normal(t)
         for j in range(max(1 if w else 0, len(w) - n + 1)):
-            windows[tuple(w[j : j + n])].add(str(i))
+            windows[tuple(w[j : j + n])] |= set() if i is None else {str(i)}
     sizes, out = {len(k) for k in windows}, []
     for t in docs:
         w, hit, found = normal(t), set(), set()

@@ -167,7 +167,8 @@ ITEMS = [(1, "The Quick brown fox jumps OVER the lazy dog and runs"), (2, "bad w
 def test_decontamination_edges(spark, max_windows):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = decontaminate.decontaminated(brute.edges(spark), items, max_windows=max_windows)
-    want = brute.decontamination([t for _, t, *_ in brute.EDGES], [x for x in ITEMS if x[0] is not None])
+    want = brute.decontamination([t for _, t, *_ in brute.EDGES], ITEMS)
+    assert want[3][1:3] == (1, 0)  # the item without an id is hit and not named
     got = sorted(((r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in out.collect()), key=repr)
     assert got == sorted(((e[0], *w[:3]) for e, w in zip(brute.EDGES, want, strict=True)), key=repr)
     text = brute.SENTENCE
@@ -177,13 +178,23 @@ def test_decontamination_edges(spark, max_windows):
     assert decontaminate.decontaminated(brute.edges(spark), items.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_decontaminated_texts_hold_no_window(spark):
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    nested = spark.createDataFrame([(1, "a bad bad wolf wolf b"), (2, "Bad, wolf!"), (3, "x"), (4, None)], "doc_id int, text string")
-    out = decontaminate.contaminated_removed(nested, items)
-    assert rows(out, "doc_id", "text") == [(1, "a  b"), (3, "x"), (4, None)]
-    kept = decontaminate.contaminated_removed(brute.edges(spark), items)
+@pytest.mark.parametrize("max_windows", [1000, 2, 1])
+def test_decontaminated_texts_hold_no_window(spark, max_windows):
+    items = spark.createDataFrame(ITEMS[:-1] + [(7, "x y")], "item_id long, text string")
+    nested = spark.createDataFrame([(1, "a bad bad wolf wolf b"), (2, "Bad, wolf!"), (3, "x"), (4, None), (5, "keep bad x y wolf end"), (5, "keep bad x y wolf end"), (6, "Bad x y wolf x y")], "doc_id int, text string")
+    out = decontaminate.contaminated_removed(nested, items, max_windows=max_windows)
+    assert rows(out, "doc_id", "text") == [(1, "a  b"), (3, "x"), (4, None), (5, "keep  end"), (5, "keep  end")]
+    kept = decontaminate.contaminated_removed(brute.edges(spark), items, max_windows=max_windows)
     assert kept.dtypes == brute.edges(spark).dtypes and kept.where("doc_id in (6, 7)").first().text == " away from the big  in the dark green wood today"
+    assert decontaminate.contaminated_removed(nested.limit(0), items, max_windows=max_windows).count() == 0
+
+
+def test_decontamination_in_parts_equals_one_pass(spark, tables, docs):
+    """Also with the bound on bytes; overlapping spans of different parts become one."""
+    items = spark.read.parquet(f"{tables}/benchmark.parquet")
+    one = rows(decontaminate.decontaminated(docs, items), "doc_id", "n_words", "n_hit", "items", "spans")
+    n_windows = decontaminate.benchmark_windows(items).count()
+    assert rows(decontaminate.decontaminated(docs, items, max_windows=n_windows // 3), "doc_id", "n_words", "n_hit", "items", "spans") == one
 
 
 # 9
