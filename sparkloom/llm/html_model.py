@@ -13,7 +13,7 @@ import random
 
 import numpy as np
 
-from sparkloom.llm.html_pages import Extractor, Node, PageTree, features
+from sparkloom.llm.html_pages import PAIRS, Extractor, Node, PageTree, features, pair_kinds
 
 LAYOUTS = (
     """<body><nav><ul><li><a href="/a">{w}</a></li><li><a href="/b">{w}</a></li><li><a href="/c">{w}</a></li></ul></nav><div class="ad">{s}</div>
@@ -41,6 +41,15 @@ LAYOUTS = (
     """<body><div class="top-nav"><ul><li>{w}</li><li>{w}</li></ul></div><article data-main="1"><header><h1>{s}</h1></header><p>{w}</p><p>{p}</p><div class="ads" data-main="0"><p>{s}</p></div><p>{p}</p><section class="comments" data-main="0"><h3>{w}</h3><div><p>{p}</p></div></section></article><div class="site-footer"><p>{p}</p></div></body>""",
     """<body data-main="1">{p}<br>{p}<p>{p}</p></body>""",
     """<body><p data-main="1">{p}</p><p data-main="1">{s}</p><p data-main="1">{p}</p></body>""",
+    """<body><div><div><div data-main="1"><div>{p}</div><div>{p}</div><div>{s}</div></div></div></div></body>""",
+    """<body><div data-main="1"><div>{p}</div><div><div>{s}</div><div>{p}</div></div></div></body>""",
+    """<body><div data-main="1"><p>{p}</p><p>{p}</p><p>{s}</p><div class="ad" data-main="0">{s}</div><div class="ad" data-main="0">{s}</div><div class="ad" data-main="0">{s}</div><p>{p}</p></div></body>""",
+    """<body><div data-main="1"><p>{p}</p><div class="advert" data-main="0"><p>{s}</p></div><p>{p}</p><div class="promo" data-main="0"><p>{p}</p></div><p>{s}</p><div class="share" data-main="0"><a href="/t">{w}</a></div><p>{p}</p></div></body>""",
+    """<body><div data-main="1"><p>{p}</p><p>{s}</p><div class="ad" data-main="0">{s}</div><div class="ad" data-main="0">{s}</div><div class="ad" data-main="0">{s}</div><div class="ad" data-main="0">{s}</div><p>{p}</p></div></body>""",
+    """<body><nav><a href="/o">{w}</a></nav><article data-main="1"><h1>{w}</h1><div class="social-history"><p>{p}</p></div><div class="form-and-style">{p}</div><p>{s}</p><section class="related-work"><h2>{w}</h2><p>{p}</p></section></article><footer>{s}</footer></body>""",
+    """<body><main data-main="1"><div class="comment-culture"><p>{p}</p></div><div class="legal-text"><p>{p}</p><p>{s}</p></div><div class="sponsored" data-main="0"><p>{p}</p></div></main><div class="comments-list"><p>{p}</p></div><div class="share-bar">{w}</div></body>""",
+    """<body><noscript><p>{s}</p></noscript><article data-main="1"><p>{p}</p><noscript data-main="0">{s}</noscript><p>{s}</p></article><noscript>{s}</noscript></body>""",
+    """<body><div class="page"><div class="top"><a href="/v">{w}</a> <a href="/u">{w}</a></div><div data-main="1"><div><b>{w}</b></div><div>{p}</div><div>{p}</div></div><div class="bottom footer">{s}</div></div></body>""",
     """<body><div class="wrapper"><div class="header"><p>{s}</p></div><div class="main" data-main="1"><h1>{w}</h1><p>{w}</p><p>{p}</p><p>{s}</p></div><div class="comments"><ul><li><p>{p}</p></li><li><p>{s}</p></li></ul></div></div></body>""",
 )
 WORDS = "the river of light and stone moves over a quiet field where small birds keep their long hours in autumn while people walk home under new rain".split()
@@ -82,7 +91,7 @@ class Forest:
                 rows.append(features(node))
                 parent.append(start + node.parent if i else -1)
                 depth.append(depth[start + node.parent] + 1 if i else 0)
-                kind.append(int(node.parent > 0))
+            kind += pair_kinds(nodes)
             known += labels(nodes)
         self.x, self.s = np.array(rows), 2.0 * np.array(known) - 1
         self.parent, self.kind, depths = np.array(parent), np.array(kind), np.array(depth)
@@ -108,16 +117,16 @@ class Forest:
         return 1 / (1 + np.exp(-belief)), np.tanh((same - other) / 2)
 
 
-def train(more: list[str] = (), max_pages: int = 1000, rounds: int = 1500) -> Extractor:
+def train(more: list[str] = (), max_pages: int = 1000, rounds: int = 1500, layouts: tuple[str, ...] = LAYOUTS) -> Extractor:
     """Weights and couplings of largest penalised likelihood, by gradient steps of adaptive length (Adam)."""
-    forest = Forest([filled(layout, 1000 * i + v) for i, layout in enumerate(LAYOUTS) for v in range(VARIANTS)] + list(more)[:max_pages])
+    forest = Forest([filled(layout, 1000 * i + v) for i, layout in enumerate(layouts) for v in range(VARIANTS)] + list(more)[:max_pages])
     n = forest.x.shape[1]
-    w, first, second = np.zeros(n + 2), np.zeros(n + 2), np.zeros(n + 2)
+    w, first, second = np.zeros(n + PAIRS), np.zeros(n + PAIRS), np.zeros(n + PAIRS)
     y, k = (forest.s + 1) / 2, forest.child
     products = forest.s[k] * forest.s[forest.parent[k]]
     for step in range(1, rounds + 1):
         p, both = forest.expected(w[:n], w[n:])
-        slope = np.concatenate([forest.x.T @ (y - p), np.bincount(forest.kind[k], products - both, minlength=2)]) - STRENGTH * len(y) / 100 * w
+        slope = np.concatenate([forest.x.T @ (y - p), np.bincount(forest.kind[k], products - both, minlength=PAIRS)]) - STRENGTH * len(y) / 100 * w
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         w += 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return Extractor([float(v) for v in w[:n]], [float(v) for v in w[n:]])

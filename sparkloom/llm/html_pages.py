@@ -1,13 +1,15 @@
 """Operator 5: main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree of its block elements. Each element has a score from its own features, and each parent-child pair
-a potential; sum-product messages go up from the leaves and down from the root, and give every element's marginal
-probability of being content. The text of the elements above one half is the page's main text: character references
-decoded, white space inside a block turned into one blank, blocks joined in page order by a newline. Scripts, styles,
-comments in the markup and the head are never text. Nothing is cut or capped.
+a potential that depends on what the two are; sum-product messages go up from the leaves and down from the root, as log
+ratios, and give every element's marginal probability of being content. The text of the elements above one half is the
+page's main text: character references decoded, white space inside a block turned into one blank, blocks joined in page
+order by a newline. Scripts, styles, templates, comments in the markup and the head are never text; the text of formulas,
+drawings and embedded objects belongs to the block around them. Nothing is cut or capped.
 
 Null or empty pages give an empty text. Broken markup is repaired as far as blocks go: unclosed elements end with their
-parents, a paragraph ends where the next block begins. Repeated rows are handled one by one.
+parents, a paragraph ends where the next block begins. Repeated rows are handled one by one. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -20,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas".split())
+HIDDEN = frozenset("script style template head title".split())
 #: Elements that form a node of the tree; all others are part of the text around them.
 BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav aside header footer form fieldset "
-    "button select option textarea label address details summary hgroup dialog menu center".split()
+    "button select option textarea label address details summary hgroup dialog menu center noscript".split()
 )
 #: Where one of these starts, an open one of the named ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("html body table td th button article main section nav aside header footer form div ul ol dl blockquote".split())
 GROUPS = {
-    "main": "article main", "chrome": "nav footer aside menu dialog", "header": "header", "form": "form fieldset button select option textarea label",
+    "main": "article main", "chrome": "nav footer aside menu dialog noscript", "header": "header", "form": "form fieldset button select option textarea label",
     "paragraph": "p blockquote pre", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol li dl dt dd", "table": "table thead tbody tfoot tr td th caption",
     "outer": "html body",
 }
@@ -44,7 +46,10 @@ AGAINST = frozenset(
 IN_FAVOUR = frozenset("article main content post entry body text story prose page".split())
 WORD = re.compile(r"[a-z]+")
 MARKS = re.compile(r"[.,;:!?。、]")
-FEATURES = ["bias", *GROUPS, "other", "against", "favour", "own", "all", "links", "marks", "short"]
+FEATURES = ["bias", *GROUPS, "other", "against", "all_against", "favour", "own", "all", "links", "marks", "short"]
+#: What a parent and a child are to each other; each pair of kinds has a coupling of its own.
+KINDS = ("outer", "main", "plain", "against")
+PAIRS = len(KINDS) * len(KINDS)
 
 
 class Node:
@@ -180,7 +185,8 @@ def features(node: Node) -> list[float]:
         1.0,
         *[float(group == g) for g in GROUPS],
         float(group == "other"),
-        float(any(h in AGAINST for h in node.hints)),
+        sum(h in AGAINST for h in node.hints) / max(1, len(node.hints)),
+        float(bool(node.hints) and all(h in AGAINST for h in node.hints)),
         float(any(h in IN_FAVOUR for h in node.hints)),
         math.log1p(node.own) / 5,
         math.log1p(node.total) / 8,
@@ -190,6 +196,21 @@ def features(node: Node) -> list[float]:
     ]
 
 
+def kind(node: Node) -> int:
+    """The place in KINDS of an element: the page itself, what names itself as main or as surroundings, or neither."""
+    if node.parent < 0:
+        return 0
+    group = GROUP_OF.get(node.tag, "other")
+    against = group in ("chrome", "form") or 2 * sum(h in AGAINST for h in node.hints) > len(node.hints)
+    return 3 if against else 1 if group == "main" or any(h in IN_FAVOUR for h in node.hints) else 2
+
+
+def pair_kinds(nodes: list[Node]) -> list[int]:
+    """For each node, which coupling holds between it and its parent (0 for the root, which has none)."""
+    kinds = [kind(node) for node in nodes]
+    return [kinds[node.parent] * len(KINDS) + kinds[i] if i else 0 for i, node in enumerate(nodes)]
+
+
 class Extractor:
     """A trained model, ready for pages."""
 
@@ -209,31 +230,26 @@ class Extractor:
 
 def sum_product(nodes: list[Node], weights: list[float], coupling: list[float]) -> list[float]:
     """The probability of content of each node. A parent and a child of one label have the potential exp(c), of two
-    labels exp(-c); ``coupling``: c for children of the root and for all others. Nodes come parents first, so one
-    backward pass carries all messages up and one forward pass all down."""
-    belief = []
-    for node in nodes:
-        z = max(-30.0, min(30.0, sum(w * x for w, x in zip(weights, features(node), strict=True))))
-        p = 1 / (1 + math.exp(-z))
-        belief.append((1 - p, p))
-    pair = [(math.exp(c), math.exp(-c)) for c in coupling]
-    up = [(0.5, 0.5)] * len(nodes)
+    labels exp(-c), with the c of their kinds. Nodes come parents first, so one backward pass carries all messages up and
+    one forward pass all down. Messages are log ratios, which add up without loss however many children there are."""
+    belief = [sum(w * x for w, x in zip(weights, features(node), strict=True)) for node in nodes]
+    c = [coupling[k] for k in pair_kinds(nodes)]
+    up = [0.0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
-        (b0, b1), parent = belief[i], nodes[i].parent
-        same, other = pair[parent > 0]
-        up[i] = _unit(same * b0 + other * b1, other * b0 + same * b1)
-        belief[parent] = _unit(belief[parent][0] * up[i][0], belief[parent][1] * up[i][1])
+        up[i] = _message(c[i], belief[i])
+        belief[nodes[i].parent] += up[i]
     for i in range(1, len(nodes)):
-        q = belief[nodes[i].parent]  # already holds the message from above
-        r0, r1 = q[0] / up[i][0], q[1] / up[i][1]  # what the parent knows without this child
-        same, other = pair[nodes[i].parent > 0]
-        belief[i] = _unit(belief[i][0] * (r0 * same + r1 * other), belief[i][1] * (r0 * other + r1 * same))
-    return [b[1] for b in belief]
+        belief[i] += _message(c[i], belief[nodes[i].parent] - up[i])  # what the parent knows without this child
+    return [1 / (1 + math.exp(-b)) if b > -700 else 0.0 for b in belief]
+
+
+def _message(c: float, b: float) -> float:
+    """The log ratio that a neighbour of log ratio b gives over a coupling c."""
+    return _log_sum(c + b, -c) - _log_sum(b - c, c)
 
 
-def _unit(x: float, y: float) -> tuple[float, float]:
-    total = x + y
-    return max(x / total, 1e-12), max(y / total, 1e-12)
+def _log_sum(x: float, y: float) -> float:
+    return max(x, y) + math.log1p(math.exp(-abs(x - y)))
 
 
 def extracted(pages: DataFrame, model: Extractor, html_col: str = "html") -> DataFrame:
