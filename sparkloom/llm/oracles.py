@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm.licenses import PHRASES, TEMPLATES
+from sparkloom.llm.licenses import PHRASES, TEMPLATES, measures
 
 #: Lower-cased A-Z and words, as in operators 7 and 10.
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,16 +44,17 @@ SELECT docs.doc_id, len(ws) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n,
 FROM docs LEFT JOIN covered c USING (doc_id) LEFT JOIN named t USING (doc_id)"""
 
 _PHRASES = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES.items())
-_TEMPLATES = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in TEMPLATES.items())
-_KNOWN = sorted({w for t in TEMPLATES.values() for w in t.split()})
-OP10 = rf"""WITH docs AS (SELECT doc_id, {LOWER} AS t, {WORDS} AS ws FROM documents), phrases(phrase, m, label) AS (VALUES {_PHRASES}),
+_TEMPLATES = ", ".join(f"('{label}', {known}, {len(known)}, {need}, {span})" for label, t in TEMPLATES.items() for known, need, span in [measures(t, 0.9)])
+OP10 = rf"""WITH docs AS (SELECT doc_id, {WORDS} AS ws FROM documents), phrases(phrase, m, label) AS (VALUES {_PHRASES}),
 places AS (SELECT doc_id, i - 1 AS pos, label FROM (SELECT doc_id, ws, phrase, m, label, unnest(range(1, len(ws) - m + 2)) AS i FROM docs, phrases WHERE len(ws) >= m) WHERE array_to_string(ws[i:i + m - 1], ' ') = phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS names FROM places GROUP BY 1),
-templates(label, words) AS (VALUES {_TEMPLATES}),
-lines AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: list_filter(list_distinct(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')), lambda w: list_contains({_KNOWN}, w))), lambda x: len(x) > 0) AS ls FROM docs),
-blocks AS (SELECT doc_id, unnest(list_concat(ls, list_transform(range(1, len(ls)), lambda i: list_distinct(list_concat(ls[i], ls[i + 1]))))) AS b FROM lines WHERE len(ls) > 0),
-scored AS (SELECT doc_id, label, len(list_intersect(b, words)) AS n, len(words) AS size FROM blocks, templates WHERE len(b) >= ceil(0.9 * len(words) - 1e-9)),
-found AS (SELECT doc_id, list_distinct(list(label)) AS names, max(n / size) AS containment FROM scored WHERE n >= ceil(0.9 * size - 1e-9) GROUP BY 1)
+templates(label, words, size, need, span) AS (VALUES {_TEMPLATES}), known AS (SELECT label, size, need, span, unnest(words) AS w FROM templates),
+tokens AS (SELECT doc_id, i, ws[i] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs)),
+places10 AS (SELECT doc_id, label, i, w, size, need, span FROM tokens JOIN known USING (w)),
+enough AS (SELECT doc_id, label FROM places10 GROUP BY 1, 2 HAVING count(DISTINCT w) >= max(need)),
+near10 AS (SELECT p.* FROM places10 p JOIN enough USING (doc_id, label)),
+blocks AS (SELECT a.doc_id, a.label, a.i, max(a.size) AS size, count(DISTINCT b.w) AS n FROM near10 a JOIN near10 b ON a.doc_id = b.doc_id AND a.label = b.label AND b.i >= a.i AND b.i < a.i + a.span GROUP BY 1, 2, 3 HAVING count(DISTINCT b.w) >= max(a.need)),
+found AS (SELECT doc_id, list_distinct(list(label)) AS names, max(n / size) AS containment FROM blocks GROUP BY 1)
 SELECT docs.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.names), ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.names, []), coalesce(found.names, [])))), ','), '') AS labels,
     round(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(containment, 0) END, 6)::DOUBLE AS score FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""

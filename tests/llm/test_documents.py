@@ -247,7 +247,7 @@ def test_license_edges(spark):
     got = rows(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
     assert got == sorted(((i, *brute.licenses(t)) for i, t in [(e[0], e[1]) for e in brute.EDGES] + more), key=repr)
     labels = {r.doc_id: r.labels for r in out.collect()}
-    assert labels[20] == "cc-by,gpl,reserved" and labels[22] == "cc-by" and labels[23] == "" and labels[24] == "apache-2.0" and labels[1] == ""
+    assert labels[20] == "cc-by,gpl,reserved" and labels[22] == "cc-by" and labels[23] == "" and labels[24] == "apache-2.0" and labels[1] == "" and labels[21] == "mit"
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
@@ -263,26 +263,40 @@ def test_template_words_in_any_order_of_rarity(spark):
     assert [(r.label, round(r.containment, 9)) for r in found] == [("mit-text", round((len(words) - 1) / len(words), 9))]
 
 
-def test_templates_wrapped_over_many_lines(spark):
-    texts = []
+def matches(spark, texts):
+    """{(number, label): containment} of template_matches, and of every run of words in plain Python."""
+    want = {}
+    for k, text in enumerate(texts):
+        words = brute.normal(text)
+        for label, t in licenses.TEMPLATES.items():
+            known, span = set(t.split()), -(-len(t.split()) * 10 // 9)
+            best = max((len(known & set(words[i : i + span])) for i in range(len(words))), default=0)
+            if 10 * best >= 9 * len(known):
+                want[k, label] = round(best / len(known), 9)
+    found = licenses.template_matches(spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "id int, text string")).collect()
+    assert {(r.id, r.label): round(r.containment, 9) for r in found} == want and len(found) == len(want)
+    return want
+
+
+def test_templates_wrapped_over_any_lines(spark):
+    texts, labels = [], []
     for label, t in licenses.TEMPLATES.items():
         words = t.split()
-        texts += [(label, "\n".join(" * " + " ".join(words[i : i + m]) for i in range(0, len(words), m))) for m in (1, 3, 5)]
-    # too far apart: lines of another template's words stand between
-    texts.append(("", "\n".join(f"{w}\n" + "permission\n" * 5 for w in licenses.TEMPLATES["bsd"].split())))
+        texts += ["\n".join(" * " + " ".join(words[i : i + m]) for i in range(0, len(words), m)) for m in (1, 3, 9)]
+        labels += [label] * 3
+    texts.append("\n".join(f"{w} here and there it stands alone" for w in licenses.TEMPLATES["bsd"].split()))  # too far apart
     rng = random.Random(5)
     known = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
     for _ in range(60):
         words = licenses.TEMPLATES[rng.choice(sorted(licenses.TEMPLATES))].split()
-        texts.append((None, "".join(w + rng.choice([" ", " ", "\n", "\nplainly\n", f"\n{rng.choice(known)}\n"]) for w in words if rng.random() < 0.97)))
-    want = {}
-    for k, (_, text) in enumerate(texts):
-        lines = [x for x in (set(brute.normal(line)) & set(known) for line in text.split("\n")) if x]
-        for label, t in licenses.TEMPLATES.items():
-            words = set(t.split())
-            best = max((len(words & set().union(*lines[i : i + m])) for i in range(len(lines)) for m in range(1, len(t.split()) + 1)), default=0)
-            if best >= 0.9 * len(words) - 1e-9:
-                want[k, label] = round(best / len(words), 9)
-    found = licenses.template_matches(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "id int, text string")).collect()
-    assert {(r.id, r.label): round(r.containment, 9) for r in found} == want and len(found) == len(want)
-    assert all((k, label) in want for k, (label, _) in enumerate(texts) if label) and (30, "bsd") not in want
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", "\nplainly\n", f"\n{rng.choice(known)}\n"]) for w in words if rng.random() < 0.97))
+    want = matches(spark, texts)
+    assert all((k, label) in want for k, label in enumerate(labels)) and (len(labels), "bsd") not in want
+
+
+def test_words_of_a_template_that_stand_apart_give_no_label(spark):
+    texts = ["Der Plan, released under the pressure of time, ist mit der neuen license verbunden", "Released\nunder the\nMIT License", "permission is hereby granted free of charge\nto any person obtaining a copy of this software\nand associated documentation files"]
+    texts.append(" ".join(f"{w} filler" for w in licenses.TEMPLATES["mit"].split()) + " the of and" * 30_000)
+    assert set(matches(spark, texts)) == {(1, "mit"), (2, "mit-text")}
+    odd = spark.createDataFrame([(None, "released under the mit license"), (1, "\u212aeep \u0130t \u212aind"), (2, "")], "doc_id int, text string")
+    assert rows(licenses.license_scan(odd), "doc_id", "n_words", "labels") == [(1, 3, ""), (2, 0, ""), (None, 5, "mit")]
