@@ -1,15 +1,15 @@
 """Operator 9: sharding by vector bin packing.
 
 Bytes, tokens and rows are balanced jointly. Rows of equal text form a group. Small groups are gathered by hash into
-``cells`` cells; a group of more than a ``1 / cells`` share of the whole, in any of the three, is dealt by a hash of the
-row's id into pieces of about that weight, so at most 7 x ``cells`` weights reach the driver whatever the size of the
-table. The rows of a group stay in one shard, unless it weighs more than a sixteenth of a shard: only then its pieces
-are placed one by one. There, heaviest first, each goes to the shard for which the dot
-product of its weight with the shard's residual capacity is highest; last, cells move from the fullest to the emptiest
-shard while that evens out the bytes. Slots are counted within cells on the executors and shifted by the sums of the
-cells before.
+``cells`` cells; a group of more than a ``1 / cells`` share of the whole, in any of the three, is weighed in pieces of about
+that weight, dealt by a hash of the row's id, so at most 7 x ``cells`` weights reach the driver whatever the size of the
+table. The rows of a group stay in one shard, unless it weighs more than a whole shard: only then its pieces are placed
+one by one. Heaviest first, each cell, group or piece goes to the shard for which the dot product of its weight with the
+shard's residual capacity is highest; last, they move from the fullest to the emptiest shard while that evens out the
+bytes. Slots are counted within cells on the executors and shifted by the sums of the cells before.
 
-Null text: one byte, no tokens; null texts are one group. Repeated rows are placed one by one.
+Null text: one byte, no tokens; null texts are one group. Null ids are an id. Rows that agree in id and text stay
+together. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def sharded(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col:
     names = weights["cell"].to_numpy()
     unit = names.copy()
     for r, start in zip(hot, starts, strict=False):
-        if r["heavy"] <= 1 / (16 * shards):
+        if r["heavy"] <= 1 / shards:
             unit[(names >= cells + start) & (names < cells + start + r["pieces"])] = cells + start
     units, member = np.unique(unit, return_inverse=True)
     loads = np.zeros((len(units), 3))
