@@ -9,8 +9,10 @@ Template: ``### role: text</turn>`` and a newline per turn. In roles and texts a
 ``#`` and ``<`` (in roles also before ``:``), so no control string can occur inside; a backslash makes the next character
 plain again. The loss mask covers the texts of assistant turns, not their marks.
 
-Null text or role: empty. A reply to a missing turn is a root. Turns on a cycle reach no root and are left out. Ties
-between branches go to the longer path, then to the smaller leaf. A table without turns gives no conversation.
+Null text or role: empty. Turns without a conversation's id form one conversation of that id. A turn without a node is left
+out; of several rows of one node the least (by parent, role, text, score) counts. A reply to a missing turn is a root.
+Turns on a cycle reach no root and are left out. Ties between branches go to the longer path, then to the smaller leaf. A
+table without turns gives no conversation. A conversation is one row at last, so it is one task's work to write it out.
 """
 
 from __future__ import annotations
@@ -70,11 +72,11 @@ def linear(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def best_paths(trees: DataFrame, branches: int = 1) -> DataFrame:
-    """(conv, leaf, rank, node, above) of the best root-to-leaf paths of trees (conv, node, parent, score).
+    """(conv, leaf, rank, node, above) of the best root-to-leaf paths of trees (conv, node, parent, score), a row per node.
 
     ``above``: turns between the node and the leaf; the leaf has 0.
     """
-    nodes = trees.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).where("conv is not null and node is not null").dropDuplicates(["conv", "node"])
+    nodes = trees.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
     nodes = nodes.join(known, ["conv", "parent"], "left")
     step = written(nodes.select("conv", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jumps")
@@ -103,11 +105,14 @@ def best_paths(trees: DataFrame, branches: int = 1) -> DataFrame:
 def conversations_of(trees: DataFrame, branches: int = 1) -> DataFrame:
     """(conv, leaf, rank, formatted, loss_spans): one formatted conversation per chosen path of trees (conv, node,
     parent, role, text, score)."""
-    paths = best_paths(trees, branches)
-    texts = trees.select("conv", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["conv", "node"])
+    kind = trees.schema["conv"].dataType.simpleString()
+    known = F.struct(F.col("conv").alias("id"))  # equal to itself where the id is null
+    rows = trees.where("node is not null").groupBy(known.alias("conv"), "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("row"))
+    paths = best_paths(rows.select("conv", "node", "row.parent", "row.score"), branches)
+    texts = rows.select("conv", "node", F.coalesce("row.role", F.lit("")).alias("role"), F.coalesce("row.text", F.lit("")).alias("text"))
     turns = paths.join(texts, ["conv", "node"]).groupBy("conv", "leaf", "rank")
     turns = turns.agg(F.sort_array(F.collect_list(F.struct(-F.col("above"), "role", "text"))).alias("turns"))
-    turns = turns.select("conv", "leaf", "rank", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    turns = turns.select("conv.id", "leaf", "rank", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
     span_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
@@ -117,7 +122,7 @@ def conversations_of(trees: DataFrame, branches: int = 1) -> DataFrame:
             spans = [[{"s": s, "e": e} for s, e in x] for _, x in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([t for t, _ in made], pa.string()), pa.array(spans, span_type)], ["conv", "leaf", "rank", "formatted", "loss_spans"])
 
-    return turns.mapInArrow(run, f"conv {kinds['conv']}, leaf {kinds['leaf']}, rank int, formatted string, loss_spans array<struct<s:long,e:long>>")
+    return turns.mapInArrow(run, f"conv {kind}, leaf {kinds['leaf']}, rank int, formatted string, loss_spans array<struct<s:long,e:long>>")
 
 
 def read_back(conversations: DataFrame) -> DataFrame:

@@ -147,15 +147,15 @@ TREES = [
     ("b", 1, 99, None, None, None),  # its parent is missing
     ("c", 1, 2, "user", "loop", 1.0), ("c", 2, 1, "user", "loop", 1.0),  # a circle
     ("d", 1, None, "user", "x", 0.0), ("d", 2, 1, "assistant", "p", 0.5), ("d", 3, 1, "assistant", "q", 0.5),  # a tie
-    (None, 1, None, "user", "lost", 0.0), *[("e", i, i - 1 or None, "user", f"t{i}", 0.0) for i in range(1, 301)],
+    (None, 1, None, "user", "lost", 0.0), ("a", None, None, "user", "no node", 0.0), ("f", 1, None, "user", "b", 0.0), ("f", 1, None, "user", "a", 0.0), *[("e", i, i - 1 or None, "user", f"t{i}", 0.0) for i in range(1, 301)],
 ]
 
 
 def test_reply_trees(spark):
     trees = spark.createDataFrame([(*t, "extra") for t in TREES], "conv string, node long, parent long, role string, text string, score double, leaf string")
     out = {r.conv: chat.parsed(r.formatted) for r in chat.conversations_of(trees).collect()}
-    assert out["a"] == [("user", "hi"), ("assistant", "no")] and out["b"] == [("", "")] and "c" not in out and None not in out
-    assert out["d"] == [("user", "x"), ("assistant", "p")] and out["e"] == [("user", f"t{i}") for i in range(1, 301)]
+    assert out["a"] == [("user", "hi"), ("assistant", "no")] and out["b"] == [("", "")] and "c" not in out and out[None] == [("user", "lost")]
+    assert out["f"] == [("user", "a")] and out["d"] == [("user", "x"), ("assistant", "p")] and out["e"] == [("user", f"t{i}") for i in range(1, 301)]
     both = sorted((r.conv, r["rank"], len(chat.parsed(r.formatted))) for r in chat.conversations_of(trees, 2).where("conv in ('a', 'd')").collect())
     assert both == [("a", 1, 2), ("a", 2, 3), ("d", 1, 2), ("d", 2, 2)]
     assert chat.conversations_of(trees.limit(0)).count() == 0
