@@ -8,7 +8,9 @@ smallest residual that fits and goes on to the successor until a bin has no conf
 A bin holds at most ``source_limit`` pieces of one source and one piece of a duplicate cluster.
 
 Clusters: documents that agree but for case and white space, or the values of ``cluster_col``. Null or empty texts
-have no words: they are listed with no bin. A null source is a source. Repeated rows are copies of one cluster.
+have no words: they are listed with no bin. A null source is a source, a null id an id. Repeated rows are copies of one
+cluster. Pieces of one size are taken in order of id and piece; of bins of one residual the oldest is taken. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations

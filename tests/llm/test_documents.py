@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,24 @@ def test_language_narrow_margin_is_rejected():
     assert lang == "aa" and score == 0.5 and margin == 0.0
 
 
+def test_language_is_the_smallest_compressed_size(spark):
+    """Against sizes that zstd gives for each piece and dictionary; all words of the sample count, whole texts and any number of languages."""
+    rng = random.Random(4)
+    words = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(2, 9))) for _ in range(60)] for k in range(230)}
+    texts = [(i, lang, " ".join(rng.choice(w) for _ in range(40)) + " " + "x" * 9000 + f" late{lang[1:].translate(str.maketrans('0123456789', 'abcdefghij'))}") for i, (lang, w) in enumerate(words.items())]
+    model = language.train(spark.createDataFrame(texts, "doc_id int, lang string, text string"))
+    assert sorted(lang for lang, _ in model) == sorted(words) and all(f"late{lang[1:].translate(str.maketrans('0123456789', 'abcdefghij'))}".encode() in d for lang, d in model)
+    few = [x for x in model if x[0] < "l005"]
+    made = language.Model(few)
+    for _ in range(20):
+        text = " ".join(rng.choice(words[f"l00{rng.randint(0, 6)}"]) for _ in range(rng.choice((3, 30, 700))))
+        data = language.letters_only(text).encode()
+        sizes = [sum(len(c.compress(data[a : a + language.PIECE])) for a in range(0, len(data), language.PIECE)) for c in made.compressors]
+        lang, score, margin = made.classify(text)
+        assert lang == few[sizes.index(min(sizes))][0] and margin == (sorted(sizes)[1] - min(sizes)) / min(sizes)
+        assert abs(score - 1 / sum(2.0 ** (min(sizes) - s) for s in sizes)) < 1e-9
+
+
 # 3
 
 
@@ -150,6 +169,39 @@ def test_best_fit_takes_the_tightest_bin_without_conflict():
     assert packing.best_fit([50, 50], ["a", "b"], [9, 9], 100, 2) == [0, 1]
 
 
+def naive_best_fit(sizes, sources, clusters, capacity, limit):
+    """The oldest of the tightest bins that fit and don't conflict, by looking at all of them."""
+    bins, out = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        fits = [(capacity - sum(sizes[j] for j in b) - sizes[i], k) for k, b in enumerate(bins) if sum(sizes[j] for j in b) + sizes[i] <= capacity and sum(sources[j] == sources[i] for j in b) < limit and clusters[i] not in {clusters[j] for j in b}]
+        out[i] = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append([])
+        bins[out[i]].append(i)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_equals_brute_force(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 40) for _ in range(300)]
+    sources, clusters = [rng.choice("abcdefg") for _ in sizes], [rng.randint(0, 200) for _ in sizes]
+    for limit in (1, 2, 50):
+        assert packing.best_fit(sizes, sources, clusters, 100, limit) == naive_best_fit(sizes, sources, clusters, 100, limit)
+
+
+def test_packing_query_equals_brute_force(spark, tables, local):
+    out = sorted((r.doc_id, r.piece, r.first_word, r.n_tokens, r.bin_id if r.bin_id is not None else -1) for r in queries.op4_best_fit_packing(spark, tables).collect())
+    pieces = []
+    for i, text, _, source in sorted(local, key=lambda r: r[0]):
+        words = brute.SPACED.findall((text or "").translate(brute.UPPER))
+        pieces += [(i, k, 2048 * k, min(2048, len(words) - 2048 * k), source, tuple(words)) for k in range(max(1, -(-len(words) // 2048)))]
+    some = [p for p in pieces if p[3] > 0]
+    bins = naive_best_fit([p[3] for p in some], [p[4] for p in some], [p[5] for p in some], 2048, 2)
+    want = [(*p[:4], b) for p, b in zip(some, bins, strict=True)] + [(*p[:3], 0, -1) for p in pieces if p[3] <= 0]
+    assert out == sorted(want)
+
+
 # 7
 
 
@@ -225,6 +277,37 @@ def test_sharding_splits_only_a_hot_group(spark):
     assert len(where["same text"]) == 8 and all(len(v) == 1 for k, v in where.items() if k != "same text")
 
 
+def test_sharding_keeps_groups_that_fit_in_a_shard(spark):
+    texts = [(i, "copies") for i in range(200)] + [(i, "more copies") for i in range(200, 1500)] + [(i, f"text {i} of others") for i in range(1500, 12000)]
+    out = sharding.sharded(spark.createDataFrame(texts, "doc_id int, text string")).collect()
+    loads = check_shards(out, texts, 8)
+    assert max(loads) - min(loads) < 0.02 * sum(loads) / 8
+    assert len({r.shard for r in out if r.doc_id < 200}) == 1 and len({r.shard for r in out if 200 <= r.doc_id < 1500}) == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_placing_equals_brute_force(seed):
+    """Each vector, heaviest first, goes where the dot product with what is left is highest; then bytes are evened out."""
+    rng = np.random.default_rng(seed)
+    weights, shards = rng.integers(1, 1000, (60, 3)).astype(float), 4
+    shares = [[w / t for w, t in zip(row, weights.sum(axis=0), strict=True)] for row in weights]
+    left, at = [[1 / shards] * 3 for _ in range(shards)], [0] * len(shares)
+    for i in sorted(range(len(shares)), key=lambda i: (-max(shares[i]), i)):
+        dots = [sum(x * y for x, y in zip(left[s], shares[i], strict=True)) for s in range(shards)]
+        at[i] = dots.index(max(dots))
+        left[at[i]] = [x - y for x, y in zip(left[at[i]], shares[i], strict=True)]
+    load = [sum(weights[i][0] for i in range(60) if at[i] == s) for s in range(shards)]
+    for _ in range(10 * shards):
+        high, low = load.index(max(load)), load.index(min(load))
+        gap, mine = load[high] - load[low], [i for i in range(60) if at[i] == high]
+        best = min(mine, key=lambda i: (abs(weights[i][0] - gap / 2), i))
+        if len(mine) < 2 or not 0 < weights[best][0] < gap:
+            break
+        at[best] = low
+        load[high], load[low] = load[high] - weights[best][0], load[low] + weights[best][0]
+    assert sharding.place(weights, shards).tolist() == at and max(load) - min(load) < 0.05 * sum(load) / shards
+
+
 def test_sharding_edges(spark):
     check_shards(sharding.sharded(brute.edges(spark), 3).collect(), [(i, t) for i, t, *_ in brute.EDGES], 3)
     assert sharding.sharded(brute.edges(spark).limit(0)).count() == 0
