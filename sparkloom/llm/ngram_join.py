@@ -15,7 +15,8 @@ sketches, where the Hamming bound leaves few pairs to verify. No pair of linked
 in a sent chunk is verified, is in one component already, or is ruled out by the bound.
 
 Null texts and texts without words have no shingles and are linked with nothing. Rows that share an id are one document
-per distinct text. Components are named by the smallest id in them.
+per distinct text; a null id is an id. Components are named by the smallest id in them, null only if they have no other.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import textscan as ts
 from sparkloom.llm.components import components
-from sparkloom.llm.durable import discard, sized_join, written
+from sparkloom.llm.durable import discard, is_small, sized_join, written
 
 #: Counters of chunk contents. Fixed: contents that share a counter are only ordered less well.
 COUNTERS = 1 << 18
@@ -37,7 +38,8 @@ FIRST_BAND, BAND_STEP = 4096, 16
 FEW = 5
 #: Rows of a chunk's classes that a task holds at once.
 HELD = 1 << 18
-BLOCK = 1024
+#: Members of a hub, and pairs of sketches, that are compared in one step.
+BLOCK = 256
 
 
 class Shape:
@@ -100,27 +102,41 @@ def class_ids(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _named(docs: DataFrame, shape: Shape) -> DataFrame:
-    """(id, n, class, sketch) of each document, and the counters of each task as rows (counter, hits)."""
-    names_out = ["id", "n", "class", "sketch", "counter", "hits"]
+    """(id, h, n, class, sketch) of each row (id, h, text), and the counters of each task as rows (counter, hits)."""
+    names_out = ["id", "h", "n", "class", "sketch", "counter", "hits"]
 
     def run(batches):
         counters = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for start, end, data, offsets in ts.slices(batch.column(1)):
+            for start, end, data, offsets in ts.slices(batch.column(2)):
                 bounds, values = shape.sets(data, offsets)
                 keys = shape.chunks(bounds, values)[2]
-                counters += np.bincount((keys & ts.U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(counters, (keys & ts.U(COUNTERS - 1)).astype(np.int64), 1)
                 names, sizes = class_ids(bounds, values).view(np.int64), np.diff(bounds)
                 empty = pa.nulls(end - start, pa.int64())
                 sketches = pa.array([_sketch(values[a:b]) if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(sizes), pa.array(names, mask=sizes == 0), sketches, empty, empty], names_out)
+                ids, hashes = (batch.column(i).slice(start, end - start) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(sizes), pa.array(names, mask=sizes == 0), sketches, empty, empty], names_out)
                 id_type = batch.column(0).type
         used = np.flatnonzero(counters)
         if len(used):
             none = pa.nulls(len(used), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(counters[used])], names_out)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), id_type), none, none, none, pa.nulls(len(used), pa.binary()), pa.array(used), pa.array(counters[used])], names_out)
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, class long, sketch binary, counter long, hits long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h long, n long, class long, sketch binary, counter long, hits long")
+
+
+class Remembered:
+    """The classes that a task has sent: a table of fixed size that forgets some, but never takes a new one for known."""
+
+    def __init__(self):
+        self.names = np.zeros(1 << 16, ts.U)
+
+    def fresh(self, names: np.ndarray) -> np.ndarray:
+        slot = (names & ts.U(len(self.names) - 1)).astype(np.int64)
+        new = self.names[slot] != names
+        self.names[slot] = names
+        return new
 
 
 def _keys(docs: DataFrame, shape: Shape, counts: np.ndarray) -> DataFrame:
@@ -129,18 +145,12 @@ def _keys(docs: DataFrame, shape: Shape, counts: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
-        counts, seen = sent.value, set()
+        counts, known = sent.value, Remembered()
         for batch in batches:
             for _, _, data, offsets in ts.slices(batch.column(1)):
                 bounds, values = shape.sets(data, offsets)
                 sizes, names = np.diff(bounds), class_ids(bounds, values)
-                new = np.zeros(len(sizes), bool)
-                for i, name in enumerate(names.tolist()):
-                    if sizes[i] and name not in seen:
-                        new[i] = True
-                        seen.add(name)
-                if len(seen) > 1_000_000:
-                    seen.clear()
+                new = (sizes > 0) & known.fresh(names)
                 pick = np.repeat(new, sizes)
                 bounds = np.concatenate([[0], np.cumsum(np.where(new, sizes, 0))])
                 rows, bands, keys = shape.chunks(bounds, values[pick])
@@ -242,16 +252,35 @@ def _candidates(keys: DataFrame) -> DataFrame:
 
 
 def _sketch(values: np.ndarray) -> bytes:
-    """The parity sketch of a set: each element flips one of at least four times as many bits."""
-    width = max(256, 1 << int(4 * len(values) - 1).bit_length())
+    """The parity sketch of a set: each element flips one of at least twice as many bits."""
+    width = max(256, 1 << int(2 * len(values) - 1).bit_length())
     parity = np.bincount((values & ts.U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(parity.astype(np.uint8)).tobytes()
 
 
-def _folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches of one width, one row each: a wider sketch folds onto a narrower one by XOR."""
-    width = min(map(len, sketches))
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, width), axis=0) for s in sketches]).view(np.uint64)
+def _folded(sketches: list[bytes], width: int = 0) -> np.ndarray:
+    """Sketches as rows of one width, by default the least: a wider sketch folds onto a narrower one by XOR."""
+    width = width or min(map(len, sketches))
+    out = np.zeros((len(sketches), width), np.uint8)
+    by_size: dict[int, list[int]] = {}
+    for i, s in enumerate(sketches):
+        by_size.setdefault(len(s), []).append(i)
+    for size, rows in by_size.items():
+        out[rows] = np.bitwise_xor.reduce(np.frombuffer(b"".join([sketches[i] for i in rows]), np.uint8).reshape(len(rows), size // width, width), axis=1)
+    return out.view(np.uint64)
+
+
+def _distances(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The Hamming distance of each pair of sketches, at the width of the narrower one."""
+    out = np.zeros(len(a), np.int64)
+    by_width: dict[int, list[int]] = {}
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        by_width.setdefault(min(len(x), len(y)), []).append(i)
+    for width, rows in by_width.items():
+        for at in range(0, len(rows), BLOCK):
+            some = rows[at : at + BLOCK]
+            out[some] = np.bitwise_count(_folded([a[i] for i in some], width) ^ _folded([b[i] for i in some], width)).sum(axis=1)
+    return out
 
 
 def _close(pairs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
@@ -264,10 +293,7 @@ def _close(pairs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
     def run(batches):
         for batch in batches:
             limits = shape.apart(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            keep = np.zeros(batch.num_rows, bool)
-            for i, pair in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                x, y = _folded(list(pair))
-                keep[i] = np.bitwise_count(x ^ y).sum() <= limits[i]
+            keep = _distances(batch.column(4).to_pylist(), batch.column(5).to_pylist()) <= limits
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
@@ -293,7 +319,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shape: Shape) -> DataFrame:
 def _linked(near: DataFrame, docs: DataFrame, classes: DataFrame, shape: Shape) -> DataFrame:
     """The pairs (a, b) that are linked, by their whole sets."""
     names = near.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = names.join(classes, "class").where("first is not null").select(F.col("first").alias("id"), "class")
+    wanted = names.join(classes, "class").select(F.col("first").alias("id"), "class")
     wanted = written(wanted, "wanted")
     sets = written(_sets(docs, wanted, shape), "sets")
     both = near.join(sets.withColumnsRenamed({"class": "b", "set": "sb"}), "b").join(sets.withColumnsRenamed({"class": "a", "set": "sa"}), "a").select("a", "b", "sa", "sb")
@@ -326,7 +352,8 @@ def _left_over(hubs: DataFrame, labels: DataFrame, classes: DataFrame, shape: Sh
     sizes = sizes.select("a", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(sizes, "a").withColumn("own", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    base = placed.select("a", "b", "cb", F.explode(every).alias("other"), "own", F.lit(False).alias("probe"))
+    asking = placed.where("odd").groupBy("a").agg(F.collect_set("own").alias("asking"))  # of the blocks of one hub
+    base = placed.join(asking, "a").select("a", "b", "cb", F.explode("asking").alias("other"), "own", F.lit(False).alias("probe"))
     probes = placed.where("odd").select("a", "b", "cb", F.explode(every).alias("other"), "own", F.lit(True).alias("probe"))
     cells = base.select("a", "b", "cb", "probe", F.col("own").alias("x"), F.col("other").alias("y")).unionAll(probes.select("a", "b", "cb", "probe", F.col("other").alias("x"), F.col("own").alias("y")))
     cells = cells.join(classes.select(F.col("class").alias("b"), "n", "sketch"), "b")
@@ -349,35 +376,71 @@ def _left_over(hubs: DataFrame, labels: DataFrame, classes: DataFrame, shape: Sh
     return cells.groupBy("a", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id that links lead to)."""
-    shape = Shape(percent, words)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _components(rows: DataFrame, shape: Shape) -> DataFrame:
+    """(id, h, n, class, label, component_id) of each row (id, h, text); rows of one label are linked."""
     named = written(_named(rows, shape), "named")
-    ids = named.where("counter is null").select("id", "n", "class")
     counts = np.zeros(COUNTERS, np.int64)
     table = named.where("counter is not null").groupBy("counter").agg(F.sum("hits").alias("hits")).toArrow()
     counts[table["counter"].to_numpy()] = table["hits"].to_numpy()
-    pairs = written(_candidates(_keys(rows, shape, counts)), "pairs")
-    classes = named.where("class is not null").groupBy("class").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    texts = rows.select("id", "text")
+    pairs = written(_candidates(_keys(texts, shape, counts)), "pairs")
+    classes = named.where("class is not null").groupBy("class")
+    classes = classes.agg(F.min("id").alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count(F.lit(1)).alias("docs"))
     classes = written(classes, "classes")
-    links = _linked(written(_close(pairs, classes, shape), "near"), rows, classes, shape)
+    links = _linked(written(_close(pairs, classes, shape), "near"), texts, classes, shape)
     labels = components(links)
     more = written(_left_over(pairs.where("hot"), labels, classes, shape), "near")
     if not more.isEmpty():
-        links = _linked(more, rows, classes, shape)
+        links = _linked(more, texts, classes, shape)
         labels = components(labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links))
     discard(pairs)
     grouped = labels.join(classes, labels["node"] == classes["class"]).select("class", "component", "first")
     least = grouped.groupBy("component").agg(F.min("first").alias("least"))
-    known = classes.join(grouped.join(least, "component").select("class", "least"), "class", "left")
-    known = known.select("class", F.coalesce("least", "first").alias("component_id"))
-    out = ids.join(known, "class", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    known = classes.join(grouped.join(least, "component").select("class", "component", "least"), "class", "left")
+    known = known.select("class", F.coalesce("component", "class").alias("label"), F.coalesce("least", "first").alias("component_id"), "docs")
+    known = written(known, "known")
+    discard(classes)
+    return _by_class(named.where("counter is null").select("id", "h", "n", "class"), known)
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id that links lead to)."""
+    text = F.col(text_col).cast("string")
+    found = _components(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), Shape(percent, words))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+#: Documents of a class beyond which they are joined in several tasks.
+CROWD = 100_000
+
+
+def _by_class(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows with the columns of ``known`` for their class. Where ``known`` is not small, classes of very many documents
+    are dealt to several tasks; there are few of these."""
+    if is_small(known):
+        return sized_join(rows, known, "class", "left")
+    parts = F.ceil(F.col("docs") / CROWD).cast("int")
+    crowds = written(known.where(F.col("docs") > CROWD).select("class", parts.alias("parts")), "crowds")
+    dealt = sized_join(rows, crowds, "class", "left").withColumn("part", F.pmod(F.xxhash64("id", "h"), F.coalesce("parts", F.lit(1))).cast("int"))
+    copies = known.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(copies, ["class", "part"], "left")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
-    """The documents without those that have a smaller id in their component; the columns of ``docs``."""
-    found = ngram_components(docs, id_col, text_col, percent, words)
-    gone = written(found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "gone")
-    return sized_join(docs, gone, id_col, "left_anti").select(docs.columns)
+    """The documents without those that have a smaller id in their component; the columns of ``docs``. Of texts of one id in
+    one component that of the smallest hash stays, of equal rows one. Documents without shingles all stay."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    rows = docs.toDF(*names).withColumns({"id": key, "h": F.xxhash64(text.cast("string"))})
+    found = _components(rows.select("id", "h", text.cast("string").alias("text")), Shape(percent, words)).where("n > 0")
+    found = found.groupBy("id", "label", "h").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    best = found.groupBy(F.col("id").alias("id_"), F.col("label").alias("label_")).agg(F.min("h").alias("least"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    judged = found.join(best, found["id"].eqNullSafe(best["id_"]) & (found["label"] == best["label_"]), "left")
+    stays = F.col("id").eqNullSafe(F.coalesce("component_id", "id")) & (F.col("h") == F.coalesce("least", "h"))
+    judged = judged.select("id", "h", stays.alias("stays"), "rows")
+    gone = written(judged.where("not stays or rows > 1"), "gone")
+    kept = sized_join(rows, written(gone.select("id", "h"), "gone"), ["id", "h"], "left_anti")
+    again = written(gone.where("stays").select("id", "h"), "again")
+    if not again.isEmpty():  # rows of one id and text
+        kept = kept.unionByName(sized_join(rows, again, ["id", "h"]).dropDuplicates(["id", "h"]))
+    return kept.select(names).toDF(*docs.columns)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import line_dedup, ngram_join, queries
+from sparkloom.llm import durable, line_dedup, ngram_join, queries
 from sparkloom.llm.components import components
 from tests.llm import brute
 
@@ -58,10 +58,21 @@ def test_ngram_join_edges(spark):
     want = brute.components([(i, t) for i, t, *_ in brute.EDGES])
     assert got == want and ngram_join.ngram_components(edges).count() == len(brute.EDGES)
     kept = ngram_join.one_of_each(edges)
-    assert kept.dtypes == edges.dtypes and sorted({r.doc_id for r in kept.collect()}) == sorted({c for _, c in want.values()})
+    assert kept.dtypes == edges.dtypes and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
     assert ngram_join.ngram_components(edges.limit(0)).count() == 0 and ngram_join.one_of_each(edges.limit(0)).count() == 0
 
 
+def test_one_of_each_of_rows_that_share_an_id(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, a), (2, a), (2, a + " more"), (2, b), (1, a), (None, c), (None, c), (None, b + " more"), (7, c), (8, None), (8, None), (9, "one"), (9, "one"), (None, "lone words"), (None, "other lone words")]
+    for small in (1 << 20, 0):  # the second time, no side of a join counts as small
+        monkeypatch.setattr(durable, "BROADCAST_ROWS", small)
+        monkeypatch.setattr(ngram_join, "CROWD", 2)
+        out = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id int, text string"))
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        assert got == sorted([(1, a), (2, b), (7, c), (8, None), (8, None), (9, "one"), (None, "lone words"), (None, "other lone words")], key=repr)
+
+
 def test_ngram_join_threshold_is_exact(spark):
     # 18 shared shingles of 22: below 0.8; 20 of 24: above
     words = [f"a{i}" for i in range(26)]
