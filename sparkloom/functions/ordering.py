@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
-    """The rows with their position (from 0) in the given order. Sorting is by range, and each partition only learns how
-    many rows stand before it, so no task sees all rows as a global window would make it."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.sparkSession.createDataFrame(df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+    """The rows with their position (from 0) in the given order. Rows are sorted by range; each partition numbers its own,
+    and learns from a count per partition how many stand before it, so no task sees all rows as a global window would make
+    it. Where partitions are drawn depends on a sample, so the sorted rows are kept until both steps have seen them."""
+    part, nth = f"_{name}_part", f"_{name}_nth"
+    ranged = df.orderBy(*order).withColumns({part: F.spark_partition_id(), nth: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    before = counts.withColumn("before", F.sum("n").over(Window.orderBy(part)) - F.col("n")).drop("n")
+    out = ranged.join(F.broadcast(before), part)
+    return out.select(*df.columns, (F.col(nth) + F.col("before")).alias(name))
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(column, n, q0, q1, ...): exact interpolated quantiles of numeric columns of very many values. Values are counted,
+    sorted by range and counted up, so no task holds all distinct values of a column."""
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))).where("value is not null")
+    counts = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.orderBy("column", "value").withColumn("part", F.spark_partition_id()).persist()
+    sums = ranged.groupBy("column", "part").agg(F.sum("n").alias("n"))
+    offset = Window.partitionBy("column").orderBy("part")
+    sums = sums.select("column", "part", (F.sum("n").over(offset) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy("column")).alias("total"))
+    own = Window.partitionBy("column", "part").orderBy("value")
+    placed = ranged.join(F.broadcast(sums), ["column", "part"]).withColumn("end", F.col("before") + F.sum("n").over(own))
+    found = []
+    for i, q in enumerate(at):
+        place = F.lit(q) * (F.col("total") - 1)
+        low, high = (F.when((F.col("end") > p) & (F.col("end") - F.col("n") <= p), F.col("value")) for p in (F.floor(place), F.ceil(place)))
+        found.append((F.max(low) + (F.max(high) - F.max(low)) * F.max(place - F.floor(place))).alias(f"q{i}"))
+    return placed.groupBy("column").agg(F.max("total").alias("n"), *found)

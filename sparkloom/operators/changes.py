@@ -10,35 +10,65 @@ from pyspark.sql import functions as F
 from sparkloom.functions.ordering import numbered
 
 
-def inserts(table: DataFrame, new: DataFrame, unique: str, order: str, defaults: dict[str, object] | None = None, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(snapshot, rejects). A row whose ``unique`` value is in the table, or earlier in the batch, is refused. Ids
-    go on from the table's largest in the order of ``order``; nulls of the columns in ``defaults`` take the default."""
-    first = new.withColumn("_n", F.row_number().over(Window.partitionBy(unique).orderBy(order)))
-    taken = table.select(F.col(unique).alias("_taken")).distinct()
-    judged = first.join(taken, F.col(unique) == F.col("_taken"), "left").withColumn("_bad", F.col("_taken").isNotNull() | (F.col("_n") > 1)).drop("_taken", "_n")
+def inserts(table: DataFrame, new: DataFrame, unique: str | Sequence[str] | None, order: str, defaults: dict[str, object] | None = None, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(snapshot, rejects). A row whose value of a ``unique`` column (one, several or none) is in the table, or in an earlier
+    row of the batch that is not itself refused for the table's sake, is refused; nulls are never equal. Ids go on from the
+    table's largest in the order of ``order``; nulls of the columns in ``defaults`` take the default."""
+    names = [unique] if isinstance(unique, str) else list(unique or ())
+    judged = new
+    for i, c in enumerate(names):
+        taken = table.select(F.col(c).alias(f"_taken{i}")).where(F.col(f"_taken{i}").isNotNull()).distinct()
+        judged = judged.join(taken, F.col(c) == F.col(f"_taken{i}"), "left")
+    known = F.lit(False)
+    for i in range(len(names)):
+        known = known | F.col(f"_taken{i}").isNotNull()
+    judged = judged.withColumn("_bad", known).drop(*[f"_taken{i}" for i in range(len(names))])
+    for c in names:
+        # nulls share no window: each has its row's order as its group
+        group = [F.col("_bad"), F.col(c), F.when(F.col(c).isNull(), F.col(order))]
+        judged = judged.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
+        judged = judged.withColumn("_bad", F.col("_bad") | (F.col(c).isNotNull() & (F.col("_n") > 1))).drop("_n")
     good = judged.where("not _bad").drop("_bad")
     last = table.agg(F.coalesce(F.max(F.col(key).try_cast("bigint")), F.lit(0)).alias("_last"))
-    positions = numbered(good.select(order, F.col(unique).alias("_u")), order, "_u", name="_pos").select("_u", "_pos")
-    added = good.join(positions, F.col(unique) == F.col("_u")).join(F.broadcast(last))
+    added = numbered(good, order, *[c for c in good.columns if c != order], name="_pos").join(F.broadcast(last))
     filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in (defaults or {}).items()}
     added = added.withColumn(key, (F.col("_last") + 1 + F.col("_pos")).cast(table.schema[key].dataType)).withColumns(filled)
     return table.unionByName(added.select(table.columns)), judged.where("_bad").drop("_bad")
 
 
-def patches(table: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id", valid: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(snapshot, rejects). ``changes`` has one row per key with ``set_fields``, the names of the columns that are set;
+def patches(table: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id", valid: dict[str, Column] | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, rejects). ``changes`` has rows of a key with ``set_fields``, the names of the columns that are set;
     a column that is set to null becomes null. ``valid``: conditions on new values (named as in ``changes``); a change
-    that breaks one, or whose key is unknown, is refused."""
+    that breaks one, or whose key is unknown, is refused. Of several changes of a key the last in ``order`` counts, the
+    others are refused as repeated; without an order all of them are."""
     ok = F.lit(True)
     for c, condition in (valid or {}).items():
         ok = ok & (~F.array_contains("set_fields", c) | F.coalesce(condition, F.lit(False)))
     judged = changes.withColumn("_ok", ok)
-    sent = judged.where("_ok").select(key, "set_fields", *[F.col(c).alias(f"_new_{c}") for c in columns])
-    joined = table.join(sent, key, "left")
+    sent = judged.where("_ok")
+    same = Window.partitionBy(key)
+    again = F.row_number().over(same.orderBy(F.desc(order))) > 1 if order else F.count(F.lit(1)).over(same) > 1
+    sent = sent.withColumn("_again", again)
+    once = sent.where("not _again").select(key, "set_fields", *[F.col(c).alias(f"_new_{c}") for c in columns])
+    joined = table.join(once, key, "left")
     out = joined.withColumns({c: F.when(F.coalesce(F.array_contains("set_fields", c), F.lit(False)), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns})
-    unknown = judged.where("_ok").drop("_ok").join(table.select(key), key, "left_anti").withColumn("reason", F.lit("unknown"))
+    unknown = sent.where("not _again").drop("_ok", "_again").join(table.select(key), key, "left_anti").select(changes.columns).withColumn("reason", F.lit("unknown"))
+    repeated = sent.where("_again").select(changes.columns).withColumn("reason", F.lit("repeated"))
     refused = judged.where("not _ok").drop("_ok").withColumn("reason", F.lit("invalid"))
-    return out.select(table.columns), unknown.unionByName(refused)
+    return out.select(table.columns), unknown.unionByName(repeated).unionByName(refused)
+
+
+def measure_updates(scores: DataFrame, changes: DataFrame, measures: Sequence[str], order: str, key: str = "id", low: float = 0, high: float = 100) -> tuple[DataFrame, DataFrame]:
+    """(snapshot, rejects) of single values: ``changes`` has (key, measure, value). A measure that isn't among ``measures``, a
+    value that is null or not from ``low`` to ``high``, and an unknown key are refused, each with its reason. Of several
+    values of one key and measure the last in ``order`` counts."""
+    reason = F.when(~F.coalesce(F.col("measure").isin(*measures), F.lit(False)), "measure").when(~F.coalesce(F.col("value").between(low, high), F.lit(False)), "value")
+    judged = changes.withColumn("reason", reason)
+    latest = [F.max_by(F.when(F.col("measure") == m, F.col("value")), F.when(F.col("measure") == m, F.col(order))).alias(f"_new_{m}") for m in measures]
+    wide = judged.where("reason is null").groupBy(key).agg(*latest)
+    out = scores.join(wide, key, "left").withColumns({m: F.coalesce(F.col(f"_new_{m}").cast(scores.schema[m].dataType), F.col(m)) for m in measures})
+    unknown = judged.where("reason is null").join(scores.select(key), key, "left_anti").select(*changes.columns, F.lit("unknown").alias("reason"))
+    return out.select(scores.columns), judged.where("reason is not null").select(*changes.columns, "reason").unionByName(unknown)
 
 
 def toggled(tasks: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:

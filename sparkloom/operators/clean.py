@@ -81,8 +81,24 @@ def with_season(df: DataFrame, date: str = "Transaction_Date") -> DataFrame:
     return df.withColumn("Season", C.season(F.col(date)))
 
 
+def imputed_sales(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Every fill of the chain at once: derived values, medians, modes and the mode of each price, in two passes over the
+    table. The medians need only derived columns and the modes none, so one aggregate gives them all; the items are counted
+    per price before the median is known, and the counts of rows without a price are added to those of the median's."""
+    derived = price_and_quantity_derived(df)
+    one = derived.agg(
+        *[median_of(c, accuracy).alias(f"_{c}") for c in ("Quantity", "Price_Per_Unit")], *[F.mode(c, deterministic=True).alias(f"_{c}") for c in ("Payment_Method", "Location")]
+    )
+    counts = derived.where("Item is not null").groupBy("Price_Per_Unit", "Item").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(one.select("_Price_Per_Unit")))
+    counts = counts.groupBy(F.coalesce("Price_Per_Unit", "_Price_Per_Unit").alias("_price"), "Item").agg(F.sum("n").alias("n"))
+    modes = counts.groupBy("_price").agg(F.min(F.struct(-F.col("n"), "Item"))["Item"].alias("_Item"))
+    out = derived.join(F.broadcast(one))
+    filled = out.withColumns({c: F.coalesce(c, f"_{c}") for c in ("Quantity", "Price_Per_Unit", "Payment_Method", "Location")})
+    filled = total_derived(filled).join(modes, F.col("Price_Per_Unit") == F.col("_price"), "left")
+    return filled.withColumn("Item", F.coalesce("Item", "_Item")).select(df.columns)
+
+
 def clean_sales(raw: DataFrame, pattern: str | None = None) -> DataFrame:
     """The whole chain, from texts to a table with seasons; rows without a date go."""
-    out = without_sentinels(coerced(renamed(raw), pattern=pattern))
-    out = total_derived(median_filled(price_and_quantity_derived(out)))
-    return with_season(group_mode_filled(mode_filled(out)).dropna(subset=["Transaction_Date"]))
+    out = imputed_sales(without_sentinels(coerced(renamed(raw), pattern=pattern)))
+    return with_season(out.dropna(subset=["Transaction_Date"]))

@@ -1,4 +1,4 @@
-"""Profiles of a table. Each is one aggregation over one scan."""
+"""Profiles of a table, each from one scan; exact quantiles of many values take a second."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.ordering import exact_quantiles
+
 
 def _rows(one: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """One row per column from a one-row aggregate of columns named name__field."""
@@ -36,16 +38,26 @@ def numeric(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return _rows(df.agg(*aggs), names, ["count", "mean", "std", "min", "q25", "q50", "q75", "max"])
 
 
+def numeric_of_many(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """As :func:`numeric`, for columns of very many distinct values: the quantiles come from sorted counts."""
+    simple = {c: {"count": F.count(c), "mean": F.avg(c), "std": F.stddev_samp(c), "min": F.min(F.col(c).cast("double")), "max": F.max(F.col(c).cast("double"))} for c in names}
+    one = df.agg(*[v.alias(f"{c}__{k}") for c, values in simple.items() for k, v in values.items()])
+    rows = _rows(one, names, ["count", "mean", "std", "min", "max"])
+    found = exact_quantiles(df, list(names)).toDF("column", "n", "q25", "q50", "q75").drop("n")
+    return rows.join(F.broadcast(found), "column", "left").select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
 def text(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(column, count, unique, top, freq); top is the most frequent value, the smallest of equals.
 
-    Values are counted by a grouping over (column, value), so columns of very many values need no large buffer.
+    Values are counted by a grouping over (column, value), so columns of very many values need no large buffer; the counts
+    are then reduced in one more grouping.
     """
-    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names])))
-    counts = pairs.groupBy("column", "value").agg(F.count("value").alias("n"))
-    top = counts.where("value is not null").groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq"))
-    firsts = counts.join(top.select("column", F.col("freq").alias("n")), ["column", "n"]).where("value is not null").groupBy("column").agg(F.min("value").alias("top"))
-    return top.join(firsts, "column").select("column", "count", "unique", "top", "freq")
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names]))).where("value is not null")
+    counts = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct((-F.col("n")).alias("least"), "value"))
+    one = counts.groupBy("column").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), first.alias("first"))
+    return one.select("column", "count", "unique", F.col("first.value").alias("top"), (-F.col("first.least")).alias("freq"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

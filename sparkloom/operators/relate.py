@@ -15,8 +15,9 @@ SECRETS = ("hashed_password",)
 
 
 def find_by_id(df: DataFrame, value, key: str = "id") -> DataFrame:
-    """The rows of one id; a text id is compared as text, so the filter reaches the scan in either case."""
-    return df.where(F.col(key) == F.lit(value)) if not isinstance(value, str) else df.where(F.col(key).cast("string") == value)
+    """The rows of one id. The value is cast to the key's type, never the column, so the filter reaches the scan; a text that
+    is no value of that type finds nothing."""
+    return df.where(F.col(key) == F.lit(value).try_cast(df.schema[key].dataType))
 
 
 def search_name(df: DataFrame, term: str, name: str = "name") -> DataFrame:
@@ -100,6 +101,16 @@ def _children(df: DataFrame, key: str, alias: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(alias))
 
 
+def children_in_chunks(df: DataFrame, key: str, alias: str, size: int = 10_000) -> DataFrame:
+    """(key, chunk, alias): as lists, but of at most ``size`` rows each, for parents of any number of children. Rows are
+    dealt to chunks in the order of their ids."""
+    ranked = numbered(df.where(F.col(key).isNotNull()), key, "id", name="_at")
+    first = ranked.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_first"))
+    chunk = F.floor((F.col("_at") - F.col("_first")) / size)
+    fields = ["id", *[c for c in df.columns if c != "id"]]
+    return ranked.join(first, F.col(key) == F.col("_key")).groupBy(key, chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(alias))
+
+
 def _with_children(parents: DataFrame, children: DataFrame, key: str, alias: str) -> DataFrame:
     lists = _children(children, key, alias).withColumnRenamed(key, "id")
     return parents.join(lists, "id", "left").withColumn(alias, F.coalesce(alias, F.array().cast(lists.schema[alias].dataType)))

@@ -103,3 +103,24 @@ def score_summary(cards: DataFrame, passing: float = 60.0) -> DataFrame:
         n.alias("entities"), F.coalesce(F.avg("average"), F.lit(0.0)).alias("mean_average"), F.coalesce(F.median("average"), F.lit(0.0)).alias("median_average"),
         F.coalesce(F.try_divide(100.0 * F.count_if(F.col("average") >= passing), n), F.lit(0.0)).alias("pass_rate"),
     )
+
+
+def whole_summary(cards: DataFrame, measures: Sequence[str], passing: float = 60.0, n: int = 3, ordinal: str = "ordinal") -> DataFrame:
+    """One row: :func:`score_summary` with the n best and worst entities (lists of id, name, average), the best and worst
+    measure with their averages, and the band distribution (a list). Lists are bounded by n and the bands; the parts are
+    one-row frames that are joined by broadcast."""
+
+    def listed(ranked: DataFrame, order: list, name: str) -> DataFrame:
+        rows = ranked.select(*order, "id", "name", "average")
+        return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(*rows.columns))), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), x["average"].alias("average"))).alias(name))
+
+    place = F.col(ordinal).alias("_at")
+    parts = [
+        listed(top(cards, n, ordinal), [(-F.col("average")).alias("_by"), place], "top"), listed(bottom(cards, n, ordinal), [F.col("average").alias("_by"), place], "bottom"),
+        best_measure(cards, measures).toDF("best_measure", "best_average"), worst_measure(cards, measures).toDF("worst_measure", "worst_average"),
+        band_distribution(cards).agg(F.array_sort(F.collect_list(F.struct("band", "label", "count", "percent"))).alias("bands")),
+    ]
+    out = score_summary(cards, passing)
+    for part in parts:
+        out = out.join(F.broadcast(part))
+    return out

@@ -123,6 +123,24 @@ def dedup_keep_last(spark, d):
     return score.keep_last(V.raw_scores(spark, d), "id", "ordinal").select("id", "view", "ordinal")
 
 
+NAMED = "list(struct_pack(id := id, average := round(average, 6)) ORDER BY {order})"
+
+
+@query(
+    f"""WITH {CARDS}, best AS (SELECT * FROM cards ORDER BY average DESC, ordinal LIMIT 3), worst AS (SELECT * FROM cards ORDER BY average, ordinal LIMIT 3), {MEANS.partition(", means")[1].lstrip(", ")}{MEANS.partition(", means")[2]},
+counted AS (SELECT bands.band, count(cards.id) AS n FROM bands LEFT JOIN cards USING (band) GROUP BY 1)
+SELECT count(*) AS entities, round(avg(average), 6) AS mean_average, round(median(average), 6) AS median_average, round(100.0 * count(*) FILTER (average >= 60) / count(*), 6) AS pass_rate,
+    (SELECT string_agg(id || ' ' || CAST(CAST(round(average * 10) AS BIGINT) AS VARCHAR), ',' ORDER BY average DESC, ordinal) FROM best) AS top, (SELECT string_agg(id || ' ' || CAST(CAST(round(average * 10) AS BIGINT) AS VARCHAR), ',' ORDER BY average, ordinal) FROM worst) AS bottom,
+    (SELECT measure FROM means ORDER BY average DESC, position LIMIT 1) AS best_measure, (SELECT measure FROM means ORDER BY average, position LIMIT 1) AS worst_measure,
+    (SELECT string_agg(band || ' ' || n, ',' ORDER BY band) FROM counted) AS bands FROM cards"""
+)
+def score_summary_whole(spark, d):
+    out = r6(score.whole_summary(cards(spark, d), M), "mean_average", "median_average", "pass_rate")
+    lists = {c: F.array_join(F.transform(c, lambda x: F.concat(x["id"], F.lit(" "), F.round(x["average"] * 10).cast("bigint").cast("string"))), ",") for c in ("top", "bottom")}
+    bands = F.array_join(F.transform("bands", lambda x: F.concat(x["band"], F.lit(" "), x["count"].cast("string"))), ",")
+    return out.withColumns(lists | {"bands": bands}).drop("best_average", "worst_average")
+
+
 # cleaning
 
 
@@ -177,7 +195,7 @@ def group_mode(spark, d):
 
 @query(f"WITH {V.GROUPED} SELECT id AS Transaction_ID, item AS Item FROM cleaned")
 def fill_group_mode(spark, d):
-    return clean.group_mode_filled(clean.mode_filled(_totalled(spark, d))).select("Transaction_ID", "Item")
+    return clean.imputed_sales(_blanked(spark, d)).select("Transaction_ID", "Item")
 
 
 SEASON = "CASE WHEN month(date) IN (12, 1, 2) THEN 'Winter' WHEN month(date) IN (3, 4, 5) THEN 'Spring' WHEN month(date) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS Season"
@@ -208,6 +226,12 @@ def check_unique(spark, d):
     return checks.unique(V.tasks(spark, d), "title")
 
 
+@query(f'WITH {V.TRACKER}, mails AS (SELECT email FROM users UNION ALL SELECT email FROM users WHERE id % 4 = 0) SELECT email, count(*) AS "rows" FROM mails WHERE email IS NOT NULL GROUP BY 1 HAVING count(*) > 1')
+def check_unique_email(spark, d):
+    u = V.users(spark, d).select("id", "email")
+    return checks.unique(u.unionAll(u.where("id % 4 = 0")), "email")
+
+
 @query(f"WITH {V.TRACKER} SELECT id, owner_id FROM projects WHERE owner_id IS NOT NULL AND owner_id NOT IN (SELECT id FROM users WHERE id < 20)")
 def check_foreign_key(spark, d):
     parents = V.users(spark, d).where("id < 20")
@@ -238,6 +262,11 @@ def profile_numeric(spark, d):
     return r6(profile.numeric(_blanked(spark, d).toDF(*SALES_COLUMNS), ["quantity", "price", "total"]), "mean", "std")
 
 
+@query(SQL["profile_numeric"])
+def profile_numeric_of_many(spark, d):
+    return r6(profile.numeric_of_many(_blanked(spark, d).toDF(*SALES_COLUMNS), ["quantity", "price", "total"]), "mean", "std")
+
+
 @query(
     f"WITH {V.SALES} "
     + " UNION ALL ".join(
@@ -261,6 +290,11 @@ def find_by_id(spark, d):
     return r6(relate.find_by_id(cards(spark, d), "42"), "average").select("id", "name", *M, "total", "average", "band")
 
 
+@query(f"WITH {V.TRACKER} SELECT id, title, status FROM tasks WHERE id = 37")
+def find_by_key(spark, d):
+    return relate.find_by_id(V.tasks(spark, d), "37").select("id", "title", "status")
+
+
 @query(f"WITH {V.SCORES} SELECT id, name FROM scores WHERE contains(lower(name), 'user 12')")
 def search_name(spark, d):
     return relate.search_name(V.scores(spark, d), " USER 12 ").select("id", "name")
@@ -390,6 +424,35 @@ def apply_inserts(spark, d):
     return snapshot.select("id", "username", "email", "is_active")
 
 
+@query(f"""WITH {V.TRACKER}, batch AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'new' || c_custkey // 2 || '@example.com' END AS email, 'name' || c_custkey // 3 AS username FROM customer),
+one AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY n) AS k FROM batch), two AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY n) AS m FROM one WHERE k = 1), good AS (SELECT *, row_number() OVER (ORDER BY n) AS p FROM two WHERE email IS NULL OR m = 1)
+SELECT id, username, email FROM users UNION ALL SELECT CAST((SELECT max(id) FROM users) + p AS INT), username, email FROM good""")
+def apply_inserts_of_two_keys(spark, d):
+    n = F.col("c_custkey")
+    mail = F.when(n % 5 != 0, F.concat(F.lit("new"), F.floor(n / 2), F.lit("@example.com")))
+    batch = V.table(spark, d, "customer").select(n.alias("n"), mail.alias("email"), F.concat(F.lit("name"), F.floor(n / 3)).alias("username"), F.lit("h").alias("hashed_password"), F.lit(True).alias("is_active"))
+    return changes.inserts(V.users(spark, d), batch, ["username", "email"], "n")[0].select("id", "username", "email")
+
+
+@query(f"WITH {V.TRACKER} SELECT id, title FROM projects UNION ALL SELECT CAST((SELECT max(id) FROM projects) + row_number() OVER (ORDER BY p_partkey) AS BIGINT), p_name FROM part")
+def apply_inserts_without_key(spark, d):
+    batch = V.table(spark, d, "part").select(F.col("p_partkey").alias("n"), F.col("p_name").alias("title"))
+    projects = V.projects(spark, d)
+    blank = {c: F.lit(None).cast(projects.schema[c].dataType) for c in projects.columns if c not in ("id", "title")}
+    return changes.inserts(projects, batch.withColumns(blank), None, "n")[0].select(F.col("id").cast("long").alias("id"), "title")
+
+
+UPDATES = "SELECT event_id AS n, CAST(user_id AS VARCHAR) AS id, CASE WHEN event_id % 7 = 0 THEN 'latin' ELSE event_type END AS measure, CAST(event_id % 120 AS INT) AS value FROM events"
+
+
+@query(f"""WITH {V.SCORES}, updates AS ({UPDATES}), last AS (SELECT id, measure, arg_max(value, n) AS value FROM updates WHERE measure IN ('{"', '".join(M)}') AND value BETWEEN 0 AND 100 GROUP BY 1, 2)
+SELECT scores.id, """ + ", ".join(f"coalesce((SELECT value FROM last WHERE last.id = scores.id AND measure = '{m}'), scores.{m}) AS {m}" for m in M) + " FROM scores")
+def measure_updates(spark, d):
+    n = F.col("event_id")
+    batch = V.table(spark, d, "events").select(n.alias("n"), F.col("user_id").cast("string").alias("id"), F.when(n % 7 == 0, "latin").otherwise(F.col("event_type")).alias("measure"), (n % 120).cast("int").alias("value"))
+    return changes.measure_updates(V.scores(spark, d), batch, M, "n")[0].select("id", *M)
+
+
 @query(f"WITH {V.TRACKER} SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE title END AS title, CASE WHEN id % 6 = 1 THEN 'completed' ELSE status END AS status FROM tasks")
 def apply_patches(spark, d):
     t = V.tasks(spark, d)

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkloom.sources.files import parse_audit
 
 
-def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append the events of new files to a Parquet table. The checkpoint folder makes it exactly once; lines that can't
-    be read are dropped here and found by ``files.audit_log``."""
-    events, _ = parse_audit(spark.readStream.text(folder))
-    writer = events.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, available_now: bool = True, rejects: str | None = None) -> StreamingQuery:
+    """Append the events of new files to a Parquet table, and the lines that can't be read to the table ``rejects``. The
+    checkpoint folder makes both exactly once: a batch is named by its number in the files it writes."""
+
+    def both(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        good, bad = parse_audit(kept)
+        good.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
+        kept.unpersist()
+
+    lines = spark.readStream.text(folder)
+    if rejects:
+        writer = lines.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
+    else:
+        writer = parse_audit(lines)[0].writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import relate
 from sparkloom.sources import files, sinks
@@ -69,3 +70,22 @@ def test_audit_stream_reads_each_file_once(spark, tmp_path):
             (tmp_path / "in" / "2.txt").write_text(LOG)
         audit.follow(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "t")).count() == 6
+
+
+def test_database_table_is_read_in_ranges(spark):
+    url = "jdbc:derby:memory:loom;create=true"
+    spark.range(100).select(F.col("id").cast("int").alias("ID"), F.concat(F.lit("n"), "id").alias("NAME")).write.jdbc(url, "PEOPLE")
+    df = files.database_table(spark, url, "PEOPLE", "ID", 0, 100, 4)
+    assert df.rdd.getNumPartitions() == 4 and sorted(r.ID for r in df.where("ID >= 90").collect()) == list(range(90, 100))
+    assert "PushedFilters: [*IsNotNull(ID), *GreaterThanOrEqual(ID,90)]" in df.where("ID >= 90")._jdf.queryExecution().toString()
+
+
+def test_stream_keeps_unreadable_lines(spark, tmp_path):
+    logs, at = tmp_path / "logs", [str(tmp_path / x) for x in ("table", "checkpoint", "rejects")]
+    logs.mkdir()
+    (logs / "a.txt").write_text("[2024-01-01 10:00:00] ADD: x\njunk\n\n")
+    audit.follow(spark, str(logs), at[0], at[1], rejects=at[2]).awaitTermination()
+    (logs / "b.txt").write_text("[2024-01-02 10:00:00] DELETE y\nmore junk\n")
+    audit.follow(spark, str(logs), at[0], at[1], rejects=at[2]).awaitTermination()
+    assert sorted(r.action for r in spark.read.parquet(at[0]).collect()) == ["ADD", "DELETE"]
+    assert sorted(r.line for r in spark.read.parquet(at[2]).collect()) == ["junk", "more junk"]

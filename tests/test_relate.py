@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.functions.ordering import exact_quantiles, numbered
 from sparkloom.functions import columns as C
 from sparkloom.operators import changes, relate
 from sparkloom.plans import catalog
@@ -57,7 +58,7 @@ def test_search_and_sort(spark, tracker):
     assert relate.search_fields(df, "", ["b"]).count() == 3
     assert [r.id for r in relate.sorted_nulls_last(df, "n").collect()] == [1, 2, 3] and [r.id for r in relate.sorted_nulls_last(df, "n", True).collect()] == [2, 1, 3]
     assert relate.of_parent(tasks, 0).count() == relate.of_parent(tasks, None).count() == 4 and relate.of_parent(tasks, 1).count() == 2
-    assert [r.id for r in relate.find_by_id(users, "2").collect()] == [r.id for r in relate.find_by_id(users, 2).collect()] == [2]
+    assert [r.id for r in relate.find_by_id(users, "2").collect()] == [r.id for r in relate.find_by_id(users, 2).collect()] == [2] and relate.find_by_id(users, "two").count() == 0
     assert [r.id for r in relate.tail(tasks, 2).collect()] == [3, 4] and [r.id for r in relate.recent(tasks, 2).collect()] == [1, 2]
 
 
@@ -90,6 +91,53 @@ def test_inserts(spark, tracker):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, users.collect()), key=str) and unknown.count() == 0
 
 
+def test_inserts_with_several_unique_columns_nulls_or_none(spark, tracker):
+    users = tracker[0]
+    rows = [(1, "d", None, "h", True), (2, "e", None, "h", True), (3, "d", "z@x.yz", "h", True), (4, "f", "a@x.yz", "h", True), (5, "g", "z@x.yz", "h", True), (6, "h", "z@x.yz", "h", True)]
+    new = spark.createDataFrame(rows, "n int, username string, email string, hashed_password string, is_active boolean")
+    snapshot, rejects = changes.inserts(users, new, ["username", "email"], "n")
+    assert [(r.id, r.username) for r in snapshot.where("id > 3").orderBy("id").collect()] == [(4, "d"), (5, "e"), (6, "g")]
+    assert sorted(r.n for r in rejects.collect()) == [3, 4, 6]  # a name, an address of the table, an address of the batch
+    snapshot, rejects = changes.inserts(users, new, None, "n")
+    assert [r.username for r in snapshot.where("id > 3").orderBy("id").collect()] == ["d", "e", "d", "f", "g", "h"] and rejects.count() == 0
+
+
+def test_measure_updates(spark):
+    scores = spark.createDataFrame([("a", 1, 2), ("b", 3, 4)], "id string, math int, art int")
+    batch = spark.createDataFrame([(1, "a", "math", 50), (2, "a", "math", 60), (3, "a", "latin", 7), (4, "b", "art", 101), (5, "b", "art", None), (6, "z", "art", 5), (7, "b", "math", 0), (8, "b", None, 1)], "n int, id string, measure string, value int")
+    out, rejects = changes.measure_updates(scores, batch, ["math", "art"], "n")
+    assert sorted(map(tuple, out.collect())) == [("a", 60, 2), ("b", 0, 4)]
+    assert sorted((r.n, r.reason) for r in rejects.collect()) == [(3, "measure"), (4, "value"), (5, "value"), (6, "unknown"), (8, "measure")]
+
+
+def test_patches_that_repeat_a_key(spark, tracker):
+    tasks = tracker[2]
+    batch = spark.createDataFrame([(1, ["title"], "x", 1), (1, ["title"], "y", 2)], "id int, set_fields array<string>, title string, n int")
+    out, rejects = changes.patches(tasks, batch, ["title"], order="n")
+    assert out.count() == tasks.count() and out.where("id = 1").first().title == "y" and [(r.title, r.reason) for r in rejects.collect()] == [("x", "repeated")]
+    out, rejects = changes.patches(tasks, batch, ["title"])
+    assert out.count() == tasks.count() and rejects.count() == 2
+
+
+def test_children_in_chunks(spark):
+    tasks = spark.createDataFrame([(i, i % 3 or None) for i in range(50)], "id int, project_id int")
+    out = relate.children_in_chunks(tasks, "project_id", "tasks", 4).collect()
+    assert all(len(r.tasks) <= 4 for r in out)
+    for p in (1, 2):
+        mine = sorted((r.chunk, [t.id for t in r.tasks]) for r in out if r.project_id == p)
+        assert [i for _, ids in mine for i in ids] == [i for i in range(50) if i % 3 == p] and [c for c, _ in mine] == list(range(len(mine)))
+
+
+def test_positions_and_quantiles_of_many_partitions(spark):
+    values = [(i * 7919 % 1000, float(i * 31 % 97) if i % 11 else None, None) for i in range(1000)]
+    df = spark.createDataFrame(values, "k int, x double, y double").repartition(13)
+    assert [(r.k, r.position) for r in numbered(df, "k").orderBy("position").collect()] == [(i, i) for i in range(1000)]
+    assert numbered(df.limit(0), "k").count() == 0
+    got = {r.column: r[1:] for r in exact_quantiles(df, ["k", "x", "y"], (0.0, 0.1, 0.5, 0.75, 1.0)).collect()}
+    want = df.agg(*[F.percentile(c, F.array(*map(F.lit, (0.0, 0.1, 0.5, 0.75, 1.0)))).alias(c) for c in ("k", "x")]).first()
+    assert set(got) == {"k", "x"} and all([round(v, 9) for v in got[c][1:]] == [round(v, 9) for v in want[c]] for c in got)
+
+
 def test_patches_tell_unset_from_null(spark, tracker):
     tasks = tracker[2]
     batch = spark.createDataFrame([(1, ["title"], None, "x"), (2, ["status"], None, "pending"), (3, ["status"], None, "bad"), (99, ["title"], "n", None)], "id int, set_fields array<string>, title string, status string")
