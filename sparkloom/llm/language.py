@@ -29,6 +29,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 PIECE = 2048
 DICTIONARY_BYTES = 32 * 1024
+SALTS = 64
 
 
 def letters_only(text: str) -> str:
@@ -40,8 +41,10 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(language, dictionary), the language with most labelled rows first."""
     rows = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("place"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy("lang").orderBy("place")
-    chosen = rows.select("lang", "place").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language)
+    chosen = rows.select("lang", "place", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):  # by parts first, so that no task ranks what all partitions send of one language
+        first = Window.partitionBy(*keys).orderBy("place")
+        chosen = chosen.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= rows_per_language)
     last = written(chosen.groupBy("lang").agg(F.max("place").alias("last")), "sample")  # the texts stay where they are
     sample = sized_join(rows, last, "lang").where("place <= last").select("lang", "text")
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
