@@ -232,10 +232,18 @@ def check_unique_email(spark, d):
     return checks.unique(u.unionAll(u.where("id % 4 = 0")), "email")
 
 
-@query(f"WITH {V.TRACKER} SELECT id, owner_id FROM projects WHERE owner_id IS NOT NULL AND owner_id NOT IN (SELECT id FROM users WHERE id < 20)")
+def _astray(df, key: str):
+    """Every row; each seventh names a parent that does not exist."""
+    return df.withColumn(key, F.when(F.col("id") % 7 == 2, -F.col(key) - 1).otherwise(F.col(key)))
+
+
+def _astray_sql(table: str, key: str) -> str:
+    return f"astray AS (SELECT * REPLACE (CASE WHEN id % 7 = 2 THEN -{key} - 1 ELSE {key} END AS {key}) FROM {table})"
+
+
+@query(f"WITH {V.TRACKER}, {_astray_sql('projects', 'owner_id')} SELECT id, owner_id FROM astray WHERE owner_id IS NOT NULL AND owner_id NOT IN (SELECT id FROM users)")
 def check_foreign_key(spark, d):
-    parents = V.users(spark, d).where("id < 20")
-    return checks.foreign_key(V.projects(spark, d), "owner_id", parents, "id").select("id", "owner_id")
+    return checks.foreign_key(_astray(V.projects(spark, d), "owner_id"), "owner_id", V.users(spark, d), "id").select("id", "owner_id")
 
 
 SALES_COLUMNS = ("id", "item", "quantity", "price", "total", "payment", "location", "date")
@@ -315,17 +323,14 @@ def page(spark, d):
     return relate.page(V.tasks(spark, d), 50, 25).select("id", "title")
 
 
-@query(f"WITH {V.TRACKER} SELECT id, owner_id, row_number() OVER (ORDER BY owner_id DESC NULLS LAST, id) AS position FROM projects ORDER BY position LIMIT 100")
+@query(f"WITH {V.TRACKER} SELECT id, owner_id, row_number() OVER (ORDER BY owner_id DESC NULLS LAST, id) AS position FROM projects")
 def sort_nulls_last(spark, d):
-    from pyspark.sql import Window
-
-    first = relate.sorted_nulls_last(V.projects(spark, d), "owner_id", True).limit(100)
-    return first.select("id", "owner_id", F.row_number().over(Window.orderBy(F.col("owner_id").desc_nulls_last(), "id")).cast("long").alias("position"))
+    return relate.numbered_nulls_last(V.projects(spark, d).select("id", "owner_id"), "owner_id", True)
 
 
-@query(f"WITH {V.TRACKER} SELECT id, owner_id, row_number() OVER (ORDER BY owner_id DESC NULLS LAST, id) AS position FROM projects")
-def sort_nulls_last_all(spark, d):
-    return relate.numbered_nulls_last(V.projects(spark, d).select("id", "owner_id"), "owner_id", True)
+@query(SQL["sort_nulls_last"])
+def sort_nulls_last_all(spark, d):  # a second name
+    return sort_nulls_last(spark, d)
 
 
 @query(f"WITH {V.TRACKER} SELECT id, title FROM tasks ORDER BY ts DESC NULLS LAST, id LIMIT 5")
@@ -339,10 +344,9 @@ def head_tail(spark, d):
     return relate.head(t).select(F.lit("head").alias("part"), "id").unionByName(relate.tail(t).select(F.lit("tail").alias("part"), "id"))
 
 
-@query(f"WITH {V.TRACKER} SELECT t.id, coalesce(nullif(p.title, ''), 'Unassigned') AS project_title FROM tasks t LEFT JOIN (SELECT * FROM projects WHERE id % 3 <> 0) p ON t.project_id = p.id")
+@query(f"WITH {V.TRACKER}, {_astray_sql('tasks', 'project_id')} SELECT t.id, coalesce(nullif(p.title, ''), 'Unassigned') AS project_title FROM astray t LEFT JOIN projects p ON t.project_id = p.id")
 def task_project(spark, d):
-    known = V.projects(spark, d).where("id % 3 <> 0")  # so that some projects are missing
-    return relate.task_project(V.tasks(spark, d), known).select("id", "project_title")
+    return relate.task_project(_astray(V.tasks(spark, d), "project_id"), V.projects(spark, d)).select("id", "project_title")
 
 
 @query(f"WITH {V.TRACKER} SELECT p.id, coalesce(u.username, 'Unassigned') AS owner, coalesce(u.email, '') AS owner_email, coalesce(nullif(p.description, ''), 'No description') AS description FROM projects p LEFT JOIN users u ON p.owner_id = u.id")
@@ -510,10 +514,13 @@ def doc_terms(spark, d):
     return text.doc_terms(V.articles(spark, d))
 
 
-@query(f"""WITH w AS (SELECT doc_id AS id, list_distinct({V.alpha_sql('text', 'a-z0-9')}) AS a, list_distinct({V.alpha_sql("split_part(text, '.', 1)", 'a-z0-9')}) AS b FROM documents)
+@query(f"""WITH w AS (SELECT d.doc_id AS id, list_distinct({V.alpha_sql("coalesce(d.text, '')", 'a-z0-9')}) AS a, list_distinct({V.alpha_sql("coalesce(e.text, '')", 'a-z0-9')}) AS b
+    FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1)
 SELECT id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / sqrt(len(a) * len(b)) END, 6) AS similarity FROM w""")
 def pair_similarity(spark, d):
-    pairs = V.articles(spark, d).select("id", F.col("content").alias("text_a"), F.split_part("content", F.lit("."), F.lit(1)).alias("text_b"))
+    a = V.articles(spark, d).select("id", F.coalesce("content", F.lit("")).alias("text_a"))
+    following = V.articles(spark, d).select((F.col("id") - 1).alias("id"), F.col("content").alias("text_b"))
+    pairs = a.join(following, "id", "left").withColumn("text_b", F.coalesce("text_b", F.lit("")))
     return r6(text.pair_similarity(pairs), "similarity").select("id", "similarity")
 
 
