@@ -1,7 +1,8 @@
 """Operator 4: conflict-constrained best-fit packing.
 
 Documents become pieces of at most ``capacity`` words. Pieces are dealt by a hash to packing groups of about
-``group_pieces`` (the number of groups follows the table), so no source or group of copies gathers in one task. Within
+``group_pieces`` (the number of groups follows the table), so no source or group of copies gathers in one task; rows that
+agree in id and cluster more than ``group_pieces / 4`` times are dealt by their place in the table as well. Within
 a group, largest first, the open bins are kept in order of their residual space; each bin carries a bitmap of the
 sources that have used up their places in it and one of the duplicate clusters it holds. The search starts at the
 smallest residual that fits and goes on to the successor until a bin has no conflict: the tightest compatible bin.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textscan as ts
-from sparkloom.llm.durable import written
+from sparkloom.llm.durable import sized_join, written
 
 GROUP_BITS = 24
 
@@ -100,9 +101,12 @@ def packed(docs: DataFrame, capacity: int = 2048, source_limit: int = 2, group_p
     sized = written(_sized(rows), "sized")
     count = sized.agg(F.sum(F.ceil(F.col("n") / capacity))).first()[0] or 0
     groups = max(1, -(-count // group_pieces))
-    pieces = sized.select("id", "source", "n", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)))).alias("piece"))
-    pieces = pieces.select("id", "source", "cluster", "piece", (F.col("piece") * capacity).alias("first_word"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n_tokens"))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece", "cluster"), F.lit(groups)))
+    crowds = sized.groupBy("id", "cluster").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > group_pieces // 4)
+    crowds = written(crowds.select("id", "cluster", F.lit(True).alias("crowd")), "crowds")
+    rows = sized_join(sized.withColumn("row", F.monotonically_increasing_id()), crowds, ["id", "cluster"], "left").withColumn("row", F.when(F.col("crowd"), F.col("row")))
+    pieces = rows.select("id", "source", "n", "cluster", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0)))).alias("piece"))
+    pieces = pieces.select("id", "source", "cluster", "row", "piece", (F.col("piece") * capacity).alias("first_word"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).alias("n_tokens"))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece", "cluster", "row"), F.lit(groups))).drop("row")
     kind = sized.schema["id"].dataType.simpleString()
 
     def pack(table: pa.Table) -> pa.Table:

@@ -154,6 +154,18 @@ def test_packing_places_every_word_once(docs, local):
     check_packing(out, [(i, t, s) for i, t, _, s in local], 2048, 2)
 
 
+def test_packing_deals_many_equal_rows(spark):
+    rows = [(7, "one two three", "s")] * 300 + [(None, None, None)] * 300 + [(i, f"word{i} and more", "t") for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.packed(df, capacity=9, group_pieces=40).collect()
+    assert sum(r.n_tokens for r in out) == 1800 and len(out) == 900
+    assert sorted(r.doc_id for r in out if r.bin_id is not None) == [7] * 300 + list(range(100, 400))
+    equal = [r.bin_id for r in out if r.doc_id == 7]
+    assert len(set(equal)) == 300  # copies of one cluster
+    groups = [b >> packing.GROUP_BITS for b in equal]
+    assert len(set(groups)) > 10 and max(groups.count(g) for g in set(groups)) < 60
+
+
 def test_packing_edges(spark):
     out = packing.packed(brute.edges(spark).where("doc_id <> 6"), capacity=100).collect()
     check_packing(out, [(i, t, s) for i, t, _, s in brute.EDGES if i != 6], 100, 2)
