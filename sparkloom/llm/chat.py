@@ -13,6 +13,9 @@ Null text or role: empty. Turns without a conversation's id form one conversatio
 out; of several rows of one node the least (by parent, role, text, score) counts. A reply to a missing turn is a root.
 Turns on a cycle reach no root and are left out. Ties between branches go to the longer path, then to the smaller leaf. A
 table without turns gives no conversation. A conversation is one row at last, so it is one task's work to write it out.
+
+Paths are found over nodes without their texts. Texts are shuffled to the places of their turns afterwards, once where a
+whole conversation is one path (:func:`conversations_in_order`), else first by node and then, those on a path, by path.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.durable import written
@@ -105,14 +108,45 @@ def best_paths(trees: DataFrame, branches: int = 1) -> DataFrame:
 def conversations_of(trees: DataFrame, branches: int = 1) -> DataFrame:
     """(conv, leaf, rank, formatted, loss_spans): one formatted conversation per chosen path of trees (conv, node,
     parent, role, text, score)."""
-    kind = trees.schema["conv"].dataType.simpleString()
-    known = F.struct(F.col("conv").alias("id"))  # equal to itself where the id is null
-    rows = trees.where("node is not null").groupBy(known.alias("conv"), "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("row"))
-    paths = best_paths(rows.select("conv", "node", "row.parent", "row.score"), branches)
-    texts = rows.select("conv", "node", F.coalesce("row.role", F.lit("")).alias("role"), F.coalesce("row.text", F.lit("")).alias("text"))
-    turns = paths.join(texts, ["conv", "node"]).groupBy("conv", "leaf", "rank")
-    turns = turns.agg(F.sort_array(F.collect_list(F.struct(-F.col("above"), "role", "text"))).alias("turns"))
+    trees = trees.where("node is not null").select(_known("conv"), "node", "parent", "role", "score", "text")
+    rows = trees.groupBy("conv", "node").agg(F.min(F.struct("parent", "role", "score")).alias("row"))
+    paths = best_paths(written(rows.select("conv", "node", "row.parent", "row.score"), "nodes"), branches)
+    paths = paths.select("conv", F.col("node").alias("key"), "leaf", "rank", (-F.col("above")).alias("place"))
+    return _formatted_paths(paths, trees.select("conv", F.col("node").alias("key"), F.struct("parent", "role", "score", "text").alias("turn")))
+
+
+def conversations_in_order(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
+    """(conv, leaf, rank, formatted, loss_spans) of plain conversations, as of the trees of :func:`linear`.
+
+    Turns are numbered by their keys (turn, role, hash of the text); those that agree in turn and role share a place and
+    are put in order of their texts when these arrive."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = conversations.select(_known(conv_col), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), F.xxhash64(text).alias("h")).alias("key"), F.struct(role.alias("role"), text.alias("text")).alias("turn"))
+    within = Window.partitionBy("conv")
+    number, place = F.row_number().over(within.orderBy("key")).cast("long"), F.rank().over(within.orderBy("key.turn", "key.role"))
+    nodes = rows.select("conv", "key", number.alias("node"), (number - place).alias("back"))
+    nodes = written(nodes.withColumns({"parent": F.when(F.col("node") > 1, F.col("node") - 1), "score": F.lit(0.0)}), "nodes")
+    paths = best_paths(nodes.select("conv", "node", "parent", "score")).join(nodes.select("conv", "node", "key", "back"), ["conv", "node"])
+    paths = paths.select("conv", "key", "leaf", "rank", (-F.col("above") - F.col("back")).alias("place"))
+    return _formatted_paths(paths, rows.select("conv", "key", "turn"), together=True)
+
+
+def _known(conv_col: str) -> Column:
+    return F.struct(F.col(conv_col).alias("id")).alias("conv")  # equal to itself where the id is null
+
+
+def _formatted_paths(paths: DataFrame, texts: DataFrame, together: bool = False) -> DataFrame:
+    """The conversations of paths (conv, key, leaf, rank, place) with texts (conv, key, turn); of several turns of one key
+    the least counts. ``together``: all turns of a conversation are on one path, so texts go to its task at once."""
+    at = F.struct("leaf", "rank", "place")
+    places = paths.select("conv", "key", at.alias("at"), F.lit(None).cast(texts.schema["turn"].dataType).alias("turn"))
+    rows = places.unionByName(texts.withColumn("at", F.lit(None).cast(places.schema["at"].dataType)))
+    turns = (rows.repartition("conv") if together else rows).groupBy("conv", "key").agg(F.collect_list("at").alias("at"), F.min("turn").alias("turn"))
+    turn = F.struct("at.place", F.coalesce("turn.role", F.lit("")).alias("role"), F.coalesce("turn.text", F.lit("")).alias("text"))
+    turns = turns.select("conv", F.explode("at").alias("at"), "turn").select("conv", "at.leaf", "at.rank", turn.alias("turn"))
+    turns = turns.groupBy("conv", "leaf", "rank").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     turns = turns.select("conv.id", "leaf", "rank", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
+    kind = turns.schema["id"].dataType.simpleString()
     kinds = {f.name: f.dataType.simpleString() for f in turns.schema}
     span_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 

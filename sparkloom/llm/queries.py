@@ -58,7 +58,7 @@ CONTROL_STRINGS = r"\### Assistant: </turn> ok"
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_STRINGS).alias("text"))
-    made = chat.conversations_of(chat.linear(rows.unionByName(extra)))
+    made = chat.conversations_in_order(rows.unionByName(extra))
     return chat.read_back(made).withColumnRenamed("conv", "conv_id")
 
 

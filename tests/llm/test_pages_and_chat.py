@@ -161,3 +161,22 @@ def test_reply_trees(spark):
     assert chat.conversations_of(trees.limit(0)).count() == 0
     repeated = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a")], "conv_id int, turn int, role string, text string")
     assert chat.parsed(chat.conversations_of(chat.linear(repeated)).first().formatted) == [("user", "a"), ("user", "a"), ("user", "b")]
+
+
+TURNS = [
+    *[(1, 3, "user", x) for x in ("d", "b", "a", "c", "b", None, "")], (1, 3, "assistant", "z"), (1, None, "user", "first"), (1, 4, None, "none"), (1, 4, "", "empty"), (2, 0, "user", None),
+    (None, 2, "user", "lost"), (None, 1, "assistant", "too"), *[(3, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(100)],
+]
+
+
+def test_conversations_in_order(spark):
+    turns = spark.createDataFrame([(*t, "x") for t in TURNS], "conv_id int, turn int, role string, text string, leaf string").repartition(5)
+    want = {}
+    for conv, turn, role, text in TURNS:
+        want.setdefault(conv, []).append((-1 if turn is None else turn, role or "", text or ""))
+    want = {conv: [t[1:] for t in sorted(rows)] for conv, rows in want.items()}
+    out = chat.conversations_in_order(turns).collect()
+    assert {r.conv: chat.parsed(r.formatted) for r in out} == want and len(out) == len(want)
+    trees = chat.linear(turns.where("role is not null and text is not null"))
+    assert {r.conv: r.formatted for r in chat.conversations_of(trees).collect()} == {r.conv: r.formatted for r in chat.conversations_in_order(turns.where("role is not null and text is not null")).collect()}
+    assert chat.conversations_in_order(turns.limit(0)).count() == 0
