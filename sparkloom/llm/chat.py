@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.durable import written
+from sparkloom.llm.durable import discard, written
 
 SPECIAL = re.compile(r"[\\#<]")
 SPECIAL_ROLE = re.compile(r"[\\#<:]")
@@ -86,12 +86,13 @@ def best_paths(trees: DataFrame, branches: int = 1) -> DataFrame:
     parents = step.where("up is not null").select("conv", F.col("up").alias("node")).distinct()
     leaves = step.select("conv", "node").join(parents, ["conv", "node"], "left_anti")
     rooted, below = step.where("up is null"), step.where("up is not null")  # only those below a root take part in a round
-    jumps, still = [], below.count()
+    steps, jumps, still = [step], [], below.count()
     while still:
         jumps.append(below.select("conv", "node", "up"))
         above = rooted.unionAll(below).select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
         far = below.join(above, ["conv", "up"])
         step = written(far.select("conv", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), "jumps")
+        steps.append(step)
         rooted, below, before = rooted.unionAll(step.where("up is null")), step.where("up is not null"), still
         still = below.count()
         if still == before and 1 << len(jumps) > still:
@@ -99,9 +100,13 @@ def best_paths(trees: DataFrame, branches: int = 1) -> DataFrame:
     ranked = leaves.join(rooted, ["conv", "node"])
     order = Window.partitionBy("conv").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     paths = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches).select("conv", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("above"))
+    paths = shorter = written(paths, "paths")
     for k in reversed(range(len(jumps))):
         paths = paths.unionAll(paths.join(jumps[k], ["conv", "node"]).select("conv", "leaf", "rank", F.col("up").alias("node"), F.col("above") + F.lit(1 << k)))
-        paths = written(paths, "paths")
+        longer = written(paths, "paths")
+        discard(shorter)
+        paths = shorter = longer
+    discard(*steps)
     return paths
 
 
