@@ -551,6 +551,12 @@ def most_similar_each(spark, d):
     return r6(text.nearest_of_all(V.articles(spark, d)), "similarity")
 
 
+@query(f"""WITH {V.PAIRS}, every AS (SELECT a.id AS id, b.id AS neighbour, coalesce(similarity, 0) AS similarity FROM articles a JOIN articles b ON a.id % 20 = 0 AND a.id <> b.id LEFT JOIN pairs ON id_a = least(a.id, b.id) AND id_b = greatest(a.id, b.id))
+SELECT id, neighbour, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY id ORDER BY round(similarity, 9) DESC, neighbour) AS INT) AS "rank" FROM every QUALIFY "rank" <= 3""")
+def most_similar_search(spark, d):
+    return r6(text.nearest_of_all(V.articles(spark, d), wanted=F.col("id") % 20 == 0), "similarity")
+
+
 @query(f"""WITH {V.ARTICLES}, one AS (SELECT ws AS w1 FROM words WHERE id = 2)
 SELECT id, round(CASE WHEN len(ws) = 0 OR len(w1) = 0 THEN 0 ELSE len(list_intersect(ws, w1)) / sqrt(len(ws) * len(w1)) END, 6) AS similarity FROM words, one WHERE id <> 2 ORDER BY similarity DESC, id LIMIT 3""")
 def most_similar(spark, d):
