@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +13,33 @@ _WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which must not be a machine's own
+    folder unless Spark runs on that machine alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loom"
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master) and re.match(r"file:|/", folder):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared folder, for files that :func:`written` does not make; it goes like those."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_discard_all, spark)
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later plans start from the files, which outlive
     any executor. The files go when the driver's Python ends (or earlier through :func:`discard`)."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_discard_all, spark)
-    _WRITTEN.append(path)
     back = spark.read.schema(schema).parquet(path)
     back._loom_path = path
     return back
@@ -57,6 +66,11 @@ def sized_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "
     return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"{c}__" for c in on])
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of :func:`new_folder`."""
+    _delete(spark, path)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what :func:`written` stored for these frames; they must not be read again."""
     for df in frames:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat, decontaminate, html_model, html_pages, language, licenses, line_dedup, ngram_join, packing, quality, sharding
+from sparkloom.llm import alignment, chat, decontaminate, html_model, html_pages, language, licenses, line_dedup, ngram_join, packing, quality, sharding, spelling, warc
+from sparkloom.llm.durable import new_folder, remove, written
 from sparkloom.llm.oracles import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -81,4 +82,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op2_line_dedup_all_lines, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan)}
+#: Of so many crc32 values of a document's words one misspells its word.
+SLIP_EVERY = 199
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"), slip_every=SLIP_EVERY)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    heads, payloads = warc.archive(warc.page_records(_read(spark, sf_dir, "pages")), f"{folder}/store")
+    warc.write_files(heads, payloads, f"{folder}/files")
+    records = written(warc.read_files(spark, f"{folder}/files", payload=False), "records")
+    remove(spark, folder)
+    return warc.resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op2_line_dedup_all_lines, op3_quality_rules, op4_best_fit_packing, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_sharding, op10_license_scan, op11_spelling_variants, op12_warc, op13_tokenizer_alignment)}
