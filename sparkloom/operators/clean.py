@@ -56,14 +56,18 @@ def _filled(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, f"_{c}") for c in values}).drop(*[f"_{c}" for c in values])
 
 
+def statistics_filled(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """Nulls become the column's median or its most frequent value (the smallest of equals), as the column is listed. One
+    aggregate gives all of them, so ``df`` is evaluated twice, however many fills there are."""
+    return _filled(df, {c: median_of(c, accuracy) for c in medians} | {c: F.mode(c, deterministic=True) for c in modes})
+
+
 def median_filled(df: DataFrame, names: Sequence[str] = ("Quantity", "Price_Per_Unit"), accuracy: int | None = None) -> DataFrame:
-    """Nulls become the column's median; all medians come from one pass."""
-    return _filled(df, {c: median_of(c, accuracy) for c in names})
+    return statistics_filled(df, medians=names, accuracy=accuracy)
 
 
 def mode_filled(df: DataFrame, names: Sequence[str] = ("Payment_Method", "Location")) -> DataFrame:
-    """Nulls become the column's most frequent value, the smallest of equals; all modes come from one pass."""
-    return _filled(df, {c: F.mode(c, deterministic=True) for c in names})
+    return statistics_filled(df, modes=names)
 
 
 def group_mode(df: DataFrame, key: str = "Price_Per_Unit", value: str = "Item") -> DataFrame:

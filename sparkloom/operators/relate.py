@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions import columns as C
 from sparkloom.functions.ordering import numbered
@@ -51,11 +52,64 @@ def public(users: DataFrame) -> DataFrame:
     return users.drop(*SECRETS)
 
 
+#: Rows up to which a page is cut from a heap of all rows before it, and ranges that a range of keys is counted in.
+HEAP, PARTS = 1000, 256
+
+
 def page(df: DataFrame, skip: int = 0, limit: int = 10, key: str = "id") -> DataFrame:
-    """One page in the order of the key."""
+    """One page in the order of the key, nulls first; rows that share a key stand in any order. A page far into the table is
+    found by counted ranges of a whole-number key (:func:`range_of`), so that only the ranges that hold it are read and
+    sorted; for other keys, or a key that more than HEAP rows of a page's range share, rows are numbered by a sort."""
     if skip < 0 or not 1 <= limit <= 100:
         raise ValueError("skip must be 0 or more, limit from 1 to 100")
-    return df.orderBy(key).offset(skip).limit(limit)
+    if skip + limit <= HEAP:
+        return df.orderBy(key).offset(skip).limit(limit)
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        return _numbered_page(df, skip, limit, key)
+    nulls, low, high = df.agg(F.count_if(F.col(key).isNull()), F.min(key), F.max(key)).first()
+    if low is None or skip < nulls:  # the page begins among rows without a key
+        return _numbered_page(df, skip, limit, key)
+    first = range_of(df, skip - nulls, key, low, high)
+    last = range_of(df, skip + limit - 1 - nulls, key, low, high)
+    if first is None:
+        return df.where("false")
+    part = df.where(F.col(key).between(first[0], last[1] if last else high))
+    return part.orderBy(key).offset(skip - nulls - first[2]).limit(limit) if first[3] <= HEAP else _numbered_page(part, skip - nulls - first[2], limit, key)
+
+
+def page_after(df: DataFrame, after: int | str | None, limit: int = 10, key: str = "id") -> DataFrame:
+    """The page that follows the key ``after`` (none: the first page), for reading on from page to page: a filter that reaches
+    the scan, and a heap of one page. Keys are distinct; rows without one are on no page."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be from 1 to 100")
+    return (df.where(F.col(key).isNotNull()) if after is None else df.where(F.col(key) > after)).orderBy(key).limit(limit)
+
+
+def range_of(df: DataFrame, position: int, key: str, low: int, high: int) -> tuple[int, int, int, int] | None:
+    """(from key, to key, rows before, rows) of a range that holds the row at ``position`` (from 0) in the order of a whole-number
+    key, and HEAP rows or fewer, unless a single key has more. Each round counts the rows of PARTS equal parts of the
+    range that the last one found; from the second on, the filter prunes files. None where there are not so many rows."""
+    before = 0
+    while True:
+        width = (high - low) // PARTS + 1
+        near = df.where(F.col(key).between(low, high))
+        part = F.expr(f"cast((cast(`{key}` as decimal(20,0)) - ({low}BD)) div {width}BD as int)")  # a span may not fit into a long
+        rows = None
+        for r in near.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+            if before + r["n"] > position:
+                low, rows = low + r["part"] * width, r["n"]
+                high = min(high, low + width - 1)
+                break
+            before += r["n"]
+        if rows is None:
+            return None
+        if rows <= HEAP or low == high:
+            return low, high, before, rows
+
+
+def _numbered_page(df: DataFrame, skip: int, limit: int, key: str) -> DataFrame:
+    placed = numbered(df, key, name="_place")
+    return placed.where((F.col("_place") >= skip) & (F.col("_place") < skip + limit)).drop("_place")
 
 
 def sorted_nulls_last(df: DataFrame, column: str, descending: bool = False, key: str = "id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
-from sparkloom.operators import changes, checks, clean, profile, relate, score, text
+from sparkloom.operators import change_log, changes, checks, clean, profile, relate, score, text
 from sparkloom.plans import views as V
 from sparkloom.sources import files
 
@@ -152,8 +152,10 @@ def _blanked(spark, d) -> DataFrame:
     return clean.without_sentinels(clean.coerced(_renamed(spark, d), pattern="yyyy-MM-dd"))
 
 
-def _totalled(spark, d) -> DataFrame:
-    return clean.total_derived(clean.median_filled(clean.price_and_quantity_derived(_blanked(spark, d))))
+def _filled(spark, d) -> DataFrame:
+    """Medians, modes and totals filled, from two evaluations of the sales."""
+    derived = clean.price_and_quantity_derived(_blanked(spark, d))
+    return clean.total_derived(clean.statistics_filled(derived, medians=("Quantity", "Price_Per_Unit"), modes=("Payment_Method", "Location")))
 
 
 SALES_OUT = "id AS Transaction_ID, item AS Item, round(quantity, 6) AS Quantity, round(price, 6) AS Price_Per_Unit, round(total, 6) AS Total_Spent, payment AS Payment_Method, location AS Location, date AS Transaction_Date"
@@ -185,12 +187,12 @@ def fill_median(spark, d):
 
 @query(f"WITH {V.MODED} SELECT id AS Transaction_ID, payment AS Payment_Method, location AS Location FROM moded")
 def fill_mode(spark, d):
-    return clean.mode_filled(_totalled(spark, d)).select("Transaction_ID", "Payment_Method", "Location")
+    return _filled(spark, d).select("Transaction_ID", "Payment_Method", "Location")
 
 
 @query(f"WITH {V.GROUPED} SELECT round(price, 6) AS Price_Per_Unit, item AS Item FROM group_modes")
 def group_mode(spark, d):
-    return r6(clean.group_mode(clean.mode_filled(_totalled(spark, d))), "Price_Per_Unit")
+    return r6(clean.group_mode(_filled(spark, d)), "Price_Per_Unit")
 
 
 @query(f"WITH {V.GROUPED} SELECT id AS Transaction_ID, item AS Item FROM cleaned")
@@ -323,6 +325,17 @@ def page(spark, d):
     return relate.page(V.tasks(spark, d), 50, 25).select("id", "title")
 
 
+@query(f"WITH {V.TRACKER} SELECT id, title FROM tasks ORDER BY id LIMIT 25 OFFSET (SELECT count(*) * 9 // 10 FROM tasks)")
+def page_deep(spark, d):
+    t = V.tasks(spark, d)
+    return relate.page(t, t.count() * 9 // 10, 25).select("id", "title")
+
+
+@query(f"WITH {V.TRACKER} SELECT id, title FROM tasks WHERE id > 100 ORDER BY id LIMIT 25")
+def page_after(spark, d):
+    return relate.page_after(V.tasks(spark, d), 100, 25).select("id", "title")
+
+
 @query(f"WITH {V.TRACKER} SELECT id, owner_id, row_number() OVER (ORDER BY owner_id DESC NULLS LAST, id) AS position FROM projects")
 def sort_nulls_last(spark, d):
     return relate.numbered_nulls_last(V.projects(spark, d).select("id", "owner_id"), "owner_id", True)
@@ -428,8 +441,12 @@ def apply_inserts(spark, d):
     return snapshot.select("id", "username", "email", "is_active")
 
 
-@query(f"""WITH {V.TRACKER}, batch AS (SELECT c_custkey AS n, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'new' || c_custkey // 2 || '@example.com' END AS email, 'name' || c_custkey // 3 AS username FROM customer),
-one AS (SELECT *, row_number() OVER (PARTITION BY username ORDER BY n) AS k FROM batch), two AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY n) AS m FROM one WHERE k = 1), good AS (SELECT *, row_number() OVER (ORDER BY n) AS p FROM two WHERE email IS NULL OR m = 1)
+# rows whose numbers agree in n // 6 are the only ones that can share a value: one walk for each such block, row by row
+@query(f"""WITH RECURSIVE {V.TRACKER}, batch AS (SELECT c_custkey AS n, c_custkey // 6 AS block, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'new' || c_custkey // 2 || '@example.com' END AS email, 'name' || c_custkey // 3 AS username FROM customer),
+walk AS (SELECT block, -1 AS i, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails, CAST(NULL AS BIGINT) AS n, false AS ok FROM (SELECT DISTINCT block FROM batch)
+UNION ALL SELECT w.block, w.i + 1, CASE WHEN good THEN list_append(w.names, b.username) ELSE w.names END, CASE WHEN good AND b.email IS NOT NULL THEN list_append(w.mails, b.email) ELSE w.mails END, b.n, good
+    FROM walk w LEFT JOIN batch b ON b.block = w.block AND b.n = w.block * 6 + w.i + 1, LATERAL (SELECT b.n IS NOT NULL AND NOT list_contains(w.names, b.username) AND NOT coalesce(list_contains(w.mails, b.email), false) AS good) WHERE w.i < 5),
+good AS (SELECT *, row_number() OVER (ORDER BY n) AS p FROM batch WHERE n IN (SELECT n FROM walk WHERE ok))
 SELECT id, username, email FROM users UNION ALL SELECT CAST((SELECT max(id) FROM users) + p AS INT), username, email FROM good""")
 def apply_inserts_of_two_keys(spark, d):
     n = F.col("c_custkey")
@@ -467,6 +484,53 @@ def apply_patches(spark, d):
     return snapshot.select("id", "title", "status")
 
 
+@query(f"""WITH {V.TRACKER}, batch AS (SELECT l_orderkey AS id, l_partkey AS n, l_linenumber % 3 AS f, CASE WHEN l_linenumber % 4 <> 0 THEN 'part ' || l_suppkey END AS title, CASE l_returnflag WHEN 'R' THEN 'completed' WHEN 'A' THEN 'pending' END AS status FROM lineitem),
+titles AS (SELECT id, first(title ORDER BY n DESC, title DESC NULLS LAST) AS v FROM batch WHERE f <> 1 GROUP BY 1), states AS (SELECT id, first(status ORDER BY n DESC, status DESC NULLS LAST) AS v FROM batch WHERE f <> 0 GROUP BY 1)
+SELECT t.id, CASE WHEN x.id IS NULL THEN t.title ELSE x.v END AS title, CASE WHEN y.id IS NULL THEN t.status ELSE y.v END AS status FROM tasks t LEFT JOIN titles x ON x.id = t.id LEFT JOIN states y ON y.id = t.id""")
+def apply_patches_in_order(spark, d):
+    f = F.col("l_linenumber") % 3
+    fields = F.when(f == 0, F.array(F.lit("title"))).when(f == 1, F.array(F.lit("status"))).otherwise(F.array(F.lit("title"), F.lit("status")))
+    title, status = F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("part "), "l_suppkey")), F.when(F.col("l_returnflag") == "R", "completed").when(F.col("l_returnflag") == "A", "pending")
+    batch = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("n"), fields.alias("set_fields"), title.alias("title"), status.alias("status"))
+    return changes.patches(V.tasks(spark, d), batch, ["title", "status"], order="n")[0].select("id", "title", "status")
+
+
+#: What an event does to a task.
+ACTIONS = {"view": "patch", "purchase": "patch", "signup": "insert", "click": "toggle", "error": "delete"}
+CHANGES = f"""log AS (SELECT event_id AS n, user_id * 4 + event_id % 4 AS id, CASE event_type {' '.join(f"WHEN '{e}' THEN '{op}'" for e, op in ACTIONS.items())} END AS op, event_id % 3 AS f,
+    CASE WHEN event_id % 5 <> 0 THEN 'T' || event_id END AS title, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' END AS status FROM events),
+marked AS (SELECT *, coalesce(last_value(CASE op WHEN 'insert' THEN true WHEN 'delete' THEN false END IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), id IN (SELECT id FROM tasks)) AS there FROM log),
+ok AS (SELECT * FROM marked WHERE (op = 'insert') <> there)"""
+
+
+def _log(spark, d) -> DataFrame:
+    n, kinds = F.col("event_id"), F.lit(None)
+    for e, op in ACTIONS.items():
+        kinds = F.when(F.col("event_type") == e, op).otherwise(kinds)
+    fields = F.when(n % 3 == 0, F.array(F.lit("title"))).when(n % 3 == 1, F.array(F.lit("status"))).otherwise(F.array(F.lit("title"), F.lit("status")))
+    title, status = F.when(n % 5 != 0, F.concat(F.lit("T"), n)), F.when(n % 4 == 0, "pending").when(n % 4 == 1, "in_progress").when(n % 4 == 2, "completed")
+    return V.table(spark, d, "events").select(n.alias("n"), (F.col("user_id") * 4 + n % 4).alias("id"), kinds.alias("op"), fields.alias("set_fields"), title.alias("title"), status.alias("status"))
+
+
+@query(f"""WITH {V.TRACKER}, {CHANGES}, ends AS (SELECT id, arg_max(op, n) AS last_op FROM ok WHERE op IN ('insert', 'delete') GROUP BY 1),
+titles AS (SELECT id, first(title ORDER BY n DESC) AS v FROM ok WHERE op = 'insert' OR (op = 'patch' AND f <> 1) GROUP BY 1),
+states AS (SELECT id, max(n) AS at, first(CASE WHEN op = 'insert' THEN coalesce(status, 'pending') ELSE status END ORDER BY n DESC) AS v FROM ok WHERE op = 'insert' OR (op = 'patch' AND f <> 0) GROUP BY 1),
+flips AS (SELECT ok.id, count(*) AS k FROM ok LEFT JOIN states s ON s.id = ok.id WHERE op = 'toggle' AND (s.at IS NULL OR n > s.at) GROUP BY 1),
+keys AS (SELECT id FROM tasks UNION SELECT id FROM ends WHERE last_op = 'insert'),
+base AS (SELECT keys.id, CASE WHEN x.id IS NULL THEN t.title ELSE x.v END AS title, CASE WHEN y.id IS NULL THEN t.status ELSE y.v END AS s, coalesce(k, 0) AS k FROM keys LEFT JOIN tasks t ON t.id = keys.id
+    LEFT JOIN ends ON ends.id = keys.id LEFT JOIN titles x ON x.id = keys.id LEFT JOIN states y ON y.id = keys.id LEFT JOIN flips ON flips.id = keys.id WHERE coalesce(last_op, '') <> 'delete')
+SELECT id, title, CASE WHEN k = 0 THEN s WHEN (k % 2 = 1) = (coalesce(s, '') = 'completed') THEN 'pending' ELSE 'completed' END AS status FROM base""")
+def apply_change_log(spark, d):
+    t = V.tasks(spark, d).select("id", "title", "status")
+    return change_log.apply_log(t, _log(spark, d), "n", defaults={"status": "pending"})[0]
+
+
+@query(f"""WITH {V.TRACKER}, {CHANGES} SELECT n, id, CASE WHEN op = 'insert' THEN 'exists' ELSE 'unknown' END AS reason FROM marked WHERE (op = 'insert') = there""")
+def change_log_rejects(spark, d):
+    t = V.tasks(spark, d).select("id", "title", "status")
+    return change_log.apply_log(t, _log(spark, d), "n", defaults={"status": "pending"})[1].select("n", "id", "reason")
+
+
 @query(f"WITH {V.TRACKER} SELECT id, CASE WHEN project_id % 2 = 0 THEN CASE WHEN status = 'completed' THEN 'pending' ELSE 'completed' END ELSE status END AS status FROM tasks")
 def toggle_status(spark, d):
     t = V.tasks(spark, d)

@@ -56,6 +56,21 @@ def database_table(spark: SparkSession, url: str, table: str, column: str, lower
     return spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=properties)
 
 
+def database_table_by_quantiles(spark: SparkSession, url: str, table: str, column: str, partitions: int, **properties: str) -> DataFrame:
+    """As :func:`database_table`, for a numeric column whose values are dense in some places and sparse in others: the bounds
+    are quantiles of the column (one read of it alone), so the ranges have about equal rows. Rows without a value are in
+    the first range; one value's rows are in one range."""
+    name = f'"{column}"'
+    values = spark.read.jdbc(url, table, properties=properties).select(column)
+    steps = [i / partitions for i in range(1, partitions)]
+    bounds = values.agg(F.percentile_approx(column, steps, 100 * partitions)).first()[0] if steps else None
+    cuts = sorted(set(bounds or ()))
+    if not cuts:
+        return spark.read.jdbc(url, table, properties=properties)
+    inner = [f"{name} >= {a} AND {name} < {b}" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return spark.read.jdbc(url, table, predicates=[f"{name} < {cuts[0]} OR {name} IS NULL", *inner, f"{name} >= {cuts[-1]}"], properties=properties)
+
+
 def parse_audit(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """((ts, action, detail), rejects) of log lines; blank lines are neither."""
     parts = lines.select(F.col(value).alias("line"), *[F.regexp_extract(value, AUDIT_LINE, i).alias(n) for i, n in ((1, "t"), (2, "action"), (3, "detail"))])
@@ -66,3 +81,8 @@ def parse_audit(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Data
 
 def audit_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_audit(spark.read.text(path))
+
+
+def audit_events(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, action, detail) of a table of events, all batches."""
+    return spark.read.schema("ts timestamp, action string, detail string, batch string").parquet(path).drop("batch")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,8 +28,13 @@ def matrix_parquet(pairs: DataFrame, path: str, mode: str = "overwrite") -> None
     pairs.select("id_a", "id_b", "similarity").write.mode(mode).parquet(path)
 
 
-def audit_append(events: DataFrame, path: str) -> None:
-    events.select("ts", "action", "detail").write.mode("append").parquet(path)
+def audit_append(events: DataFrame, path: str, batch: str | int) -> None:
+    """Adds the events of one batch to a table of events. A batch has an id of letters, digits, ``-`` and ``_`` and a folder of
+    its own, so a batch that is written again, by a job that was retried, replaces itself. The streaming reader writes the
+    same layout."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", str(batch)):
+        raise ValueError("a batch is named by letters, digits, - and _")
+    events.select("ts", "action", "detail").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def documents_json(nested: DataFrame, path: str, mode: str = "overwrite") -> None:

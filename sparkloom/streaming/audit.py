@@ -6,22 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkloom.sources.files import parse_audit
+from sparkloom.sources.sinks import audit_append
 
 
 def follow(spark: SparkSession, folder: str, table: str, checkpoint: str, available_now: bool = True, rejects: str | None = None) -> StreamingQuery:
-    """Append the events of new files to a Parquet table, and the lines that can't be read to the table ``rejects``. The
-    checkpoint folder makes both exactly once: a batch is named by its number in the files it writes."""
+    """Append the events of new files to a table of events, and the lines that can't be read to the table ``rejects``, by
+    default ``<table>_rejects``. Each batch is named by its number and replaces itself if it is written again, so with the
+    checkpoint folder both tables get each line once. Blank lines are neither."""
+    bad_lines = rejects or f"{table.rstrip('/')}_rejects"
 
     def both(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        good, bad = parse_audit(kept)
-        good.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{rejects}/batch={number}")
-        kept.unpersist()
+        good, bad = parse_audit(batch)
+        audit_append(good, table, number)
+        bad.write.mode("overwrite").parquet(f"{bad_lines}/batch={number}")
 
-    lines = spark.readStream.text(folder)
-    if rejects:
-        writer = lines.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
-    else:
-        writer = parse_audit(lines)[0].writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = spark.readStream.text(folder).writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

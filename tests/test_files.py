@@ -57,9 +57,13 @@ def test_audit_log(spark, tmp_path):
     events, rejects = files.audit_log(spark, str(tmp_path / "log.txt"))
     assert [(r.action, r.detail) for r in events.orderBy("ts").collect()] == [("LOGIN", "user=a role=b"), ("ADD", "student: x"), ("LOGOUT", "")]
     assert sorted(r.line for r in rejects.collect()) == ["[bad] ADD y", "junk"]
-    sinks.audit_append(events, str(tmp_path / "events"))
-    sinks.audit_append(events, str(tmp_path / "events"))
-    assert spark.read.parquet(str(tmp_path / "events")).count() == 6
+    for batch in ("a", "b", "b"):  # the last is a job that runs again
+        sinks.audit_append(events, str(tmp_path / "events"), batch)
+    assert files.audit_events(spark, str(tmp_path / "events")).count() == 6
+    sinks.audit_append(events.limit(1), str(tmp_path / "events"), "b")
+    assert files.audit_events(spark, str(tmp_path / "events")).count() == 4
+    with pytest.raises(ValueError):
+        sinks.audit_append(events, str(tmp_path / "events"), "../x")
 
 
 def test_audit_stream_reads_each_file_once(spark, tmp_path):
@@ -89,3 +93,24 @@ def test_stream_keeps_unreadable_lines(spark, tmp_path):
     audit.follow(spark, str(logs), at[0], at[1], rejects=at[2]).awaitTermination()
     assert sorted(r.action for r in spark.read.parquet(at[0]).collect()) == ["ADD", "DELETE"]
     assert sorted(r.line for r in spark.read.parquet(at[2]).collect()) == ["junk", "more junk"]
+
+
+def test_stream_writes_rejects_by_default_in_the_layout_of_batches(spark, tmp_path):
+    logs, table = tmp_path / "logs", str(tmp_path / "table")
+    logs.mkdir()
+    (logs / "a.txt").write_text("[2024-01-01 10:00:00] ADD: x\njunk\n\n")
+    audit.follow(spark, str(logs), table, str(tmp_path / "c")).awaitTermination()
+    events = files.audit_events(spark, table)
+    assert [(r.action, r.detail) for r in events.collect()] == [("ADD", "x")] and [r.line for r in spark.read.parquet(f"{table}_rejects").collect()] == ["junk"]
+    sinks.audit_append(spark.createDataFrame(events.collect(), events.schema), table, "by-hand")
+    assert files.audit_events(spark, table).count() == 2
+
+
+def test_database_table_in_ranges_of_equal_rows(spark):
+    url = "jdbc:derby:memory:loom2;create=true"
+    rows = [(i, f"n{i}") for i in range(90)] + [(10**6 + i * 1000, "far") for i in range(10)] + [(None, "none")] * 2
+    spark.createDataFrame(rows, "ID int, NAME string").write.jdbc(url, "PEOPLE")
+    df = files.database_table_by_quantiles(spark, url, "PEOPLE", "ID", 4)
+    sizes = [len(p) for p in df.rdd.glom().collect()]
+    assert df.count() == len(rows) and len(sizes) == 4 and max(sizes) <= 30
+    assert files.database_table_by_quantiles(spark, url, "PEOPLE", "ID", 1).count() == len(rows)

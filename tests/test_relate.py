@@ -113,8 +113,8 @@ def test_measure_updates(spark):
 def test_patches_that_repeat_a_key(spark, tracker):
     tasks = tracker[2]
     batch = spark.createDataFrame([(1, ["title"], "x", 1), (1, ["title"], "y", 2)], "id int, set_fields array<string>, title string, n int")
-    out, rejects = changes.patches(tasks, batch, ["title"], order="n")
-    assert out.count() == tasks.count() and out.where("id = 1").first().title == "y" and [(r.title, r.reason) for r in rejects.collect()] == [("x", "repeated")]
+    out, rejects = changes.patches(tasks, batch, ["title"], order="n")  # both are applied, the later one over the earlier
+    assert out.count() == tasks.count() and out.where("id = 1").first().title == "y" and rejects.count() == 0
     out, rejects = changes.patches(tasks, batch, ["title"])
     assert out.count() == tasks.count() and rejects.count() == 2
 
@@ -160,3 +160,35 @@ def test_all_projects_are_sorted_and_those_without_owner_come_last(spark, tables
     want = sorted(((r.id, r.owner_id) for r in V.projects(spark, tables).collect()), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
     assert [(r.id, r.owner_id) for r in sorted(rows, key=lambda r: r.position)] == want and sorted(r.position for r in rows) == list(range(1, len(want) + 1))
     assert len(want) > 100 and want[-1][1] is None
+
+
+def test_deep_pages_are_cut_from_counted_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(relate, "HEAP", 20)
+    monkeypatch.setattr(relate, "PARTS", 8)
+    keys = [None] * 5 + [i * i * 3 - 1000 for i in range(400)] + [10**12 + i for i in range(300)] + [-(2**63), 2**63 - 1]
+    spark.createDataFrame([(k, str(k)) for k in keys], "id long, name string").repartition(7).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    want = sorted(keys, key=lambda k: (k is not None, k or 0))
+    for skip in (0, 3, 15, 40, 390, 403, 404, 500, 690, 700, 705, 706, 5000):
+        assert [r.id for r in relate.page(df, skip, 10).orderBy("id").collect()] == want[skip : skip + 10]
+    low, high, before, rows = relate.range_of(df, 600, "id", -(2**63), 2**63 - 1)
+    assert before <= 600 < before + rows <= before + 20 and sum(k is not None and low <= k <= high for k in keys) == rows
+    tied = spark.createDataFrame([(7, i) for i in range(100)] + [(9, i) for i in range(30)], "id int, n int")
+    parts = [r for skip in range(0, 130, 10) for r in relate.page(tied, skip, 10).collect()]
+    assert [r.id for r in parts] == [7] * 100 + [9] * 30
+    assert [r.name for r in relate.page(df, 704, 5, "name").orderBy("name").collect()] == sorted(map(str, want))[704:709]
+
+
+def test_pages_one_after_the_other(spark):
+    df = spark.createDataFrame([(k,) for k in (5, 3, None, 9, 1)], "id int")
+    seen, after = [], None
+    while rows := [r.id for r in relate.page_after(df, after, 2).collect()]:
+        seen, after = seen + rows, rows[-1]
+    assert seen == [1, 3, 5, 9]
+
+
+def test_positions_keep_no_cache_and_replace_their_column(spark):
+    df = spark.createDataFrame([(i, -i) for i in range(50)], "k int, position int").repartition(5)
+    out = numbered(df, "k")
+    assert out.columns == ["k", "position"] and [(r.k, r.position) for r in out.orderBy("k").collect()] == [(i, i) for i in range(50)]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0 and "InMemoryTableScan" not in out._jdf.queryExecution().toString()
