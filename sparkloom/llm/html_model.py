@@ -1,6 +1,6 @@
 """Labelled pages and training for operator 5.
 
-The pages are layouts of our own; ``data-main`` marks what belongs to the main text ("1") and what inside it does not
+The pages are layouts of our own, some written by hand and many drawn at random (:mod:`sparkloom.llm.html_layouts`); ``data-main`` marks what belongs to the main text ("1") and what inside it does not
 ("0"); an element without a mark takes its parent's. ``{p}`` stands for a paragraph, ``{s}`` for a short sentence,
 ``{w}`` for a word or two; each layout is filled several times with texts of different lengths. More labelled pages
 (with ``data-main`` marks) can be passed to :func:`train`, up to ``max_pages`` of them.
@@ -13,6 +13,7 @@ import random
 
 import numpy as np
 
+from sparkloom.llm.html_layouts import layout
 from sparkloom.llm.html_pages import PAIRS, Extractor, Node, PageTree, features, pair_kinds
 
 LAYOUTS = (
@@ -54,6 +55,8 @@ LAYOUTS = (
 )
 WORDS = "the river of light and stone moves over a quiet field where small birds keep their long hours in autumn while people walk home under new rain".split()
 VARIANTS = 12
+#: Random layouts that are drawn.
+DRAWN = 800
 STRENGTH = 0.002
 
 
@@ -117,9 +120,14 @@ class Forest:
         return 1 / (1 + np.exp(-belief)), np.tanh((same - other) / 2)
 
 
-def train(more: list[str] = (), max_pages: int = 1000, rounds: int = 1500, layouts: tuple[str, ...] = LAYOUTS) -> Extractor:
+def pages(layouts: tuple[str, ...] = LAYOUTS, drawn: int = DRAWN, seed: int = 0) -> list[str]:
+    """Labelled pages: each of ``layouts`` VARIANTS times, and ``drawn`` random ones, filled."""
+    return [filled(text, 1000 * i + v) for i, text in enumerate(layouts) for v in range(VARIANTS)] + [filled(layout(seed + i), seed + i) for i in range(drawn)]
+
+
+def train(more: list[str] = (), max_pages: int = 1000, rounds: int = 900, layouts: tuple[str, ...] = LAYOUTS, drawn: int = DRAWN) -> Extractor:
     """Weights and couplings of largest penalised likelihood, by gradient steps of adaptive length (Adam)."""
-    forest = Forest([filled(layout, 1000 * i + v) for i, layout in enumerate(layouts) for v in range(VARIANTS)] + list(more)[:max_pages])
+    forest = Forest(pages(layouts, drawn) + list(more)[:max_pages])
     n = forest.x.shape[1]
     w, first, second = np.zeros(n + PAIRS), np.zeros(n + PAIRS), np.zeros(n + PAIRS)
     y, k = (forest.s + 1) / 2, forest.child

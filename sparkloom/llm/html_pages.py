@@ -26,37 +26,56 @@ HIDDEN = frozenset("script style template head title".split())
 #: Elements that form a node of the tree; all others are part of the text around them.
 BLOCKS = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav aside header footer form fieldset "
-    "button select option textarea label address details summary hgroup dialog menu center noscript".split()
+    "button select option textarea address details summary hgroup dialog menu center noscript".split()
 )
 #: Where one of these starts, an open one of the named ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("html body table td th button article main section nav aside header footer form div ul ol dl blockquote".split())
 GROUPS = {
-    "main": "article main", "chrome": "nav footer aside menu dialog noscript", "header": "header", "form": "form fieldset button select option textarea label",
+    "main": "article main", "chrome": "nav footer aside menu dialog noscript", "header": "header", "form": "form fieldset button select option textarea",
     "paragraph": "p blockquote pre", "heading": "h1 h2 h3 h4 h5 h6 hgroup", "list": "ul ol li dl dt dd", "table": "table thead tbody tfoot tr td th caption",
     "outer": "html body",
 }
 GROUP_OF = {tag: group for group, tags in GROUPS.items() for tag in tags.split()}
-#: Words in class, id and role names that speak for or against content.
-AGAINST = frozenset(
-    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert newsletter subscribe subscription signup share sharing social sidebar "
-    "side widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies discussion disqus respond related recommended popular trending popup modal overlay "
-    "login search pagination pager copyright legal toolbar tags meta byline author complementary contentinfo form feedback survey skip rating hidden".split()
-)
-IN_FAVOUR = frozenset("article main content post entry body text story prose page".split())
+#: Words in class, id and role names that speak against content wherever they stand, those that do so unless other words
+#: outnumber them (``related-work`` names a section of an article), and those that speak for content.
+STRONG = (
+    "ad ads adv advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr newsletter subscribe subscription signup share sharing sidebar widget menu nav navbar "
+    "navigation breadcrumb breadcrumbs footer masthead comments replies disqus respond recommended trending popup modal overlay pagination pager toolbar complementary contentinfo hidden"
+).split()
+WEAK = "alert notice social side comment reply discussion related popular login search copyright legal tags meta byline author form feedback survey skip rating".split()
+FAVOUR = "article main content post entry body text story prose page".split()
+#: Words that say how a part is laid out, or what it is of, and leave open what it is.
+LAYOUT = frozenset("area box wrap wrapper container list block section inner outer col row grid unit slot item top bottom bar card one two site js layout left right md sm lg x header".split()) | frozenset(FAVOUR)
+STRONG_WORDS, AGAINST, IN_FAVOUR = frozenset(STRONG), frozenset(STRONG + WEAK), frozenset(FAVOUR)
 WORD = re.compile(r"[a-z]+")
 MARKS = re.compile(r"[.,;:!?。、]")
-FEATURES = ["bias", *GROUPS, "other", "against", "all_against", "favour", "own", "all", "links", "marks", "short"]
-#: What a parent and a child are to each other; each pair of kinds has a coupling of its own.
-KINDS = ("outer", "main", "plain", "against")
+PLAIN_FEATURES = [
+    "bias", *GROUPS, "other", "against", "all_against", "favour", "named_main", "named_against", "inside_main", "inside_against", "own", "all", "links", "links_inside_main", "marks", "short", "short_inside_main",
+    "share", "largest", "most_links", "few_words_many_links", "outweighed", "outweighed_box", "outweighed_box_without_name", "unnamed_page",
+    "leads", "heading_leads", "heading_leads_in_unnamed_page",
+]
+#: Every hint word has a weight of its own.
+HINTS = {word: len(PLAIN_FEATURES) + i for i, word in enumerate([*STRONG, *WEAK, *FAVOUR, "header"])}
+FEATURES = [*PLAIN_FEATURES, *HINTS]
+#: What a parent and a child are to each other; each pair of kinds has a coupling of its own. A plain element counts by the
+#: nearest of its ancestors that names itself.
+KINDS = ("outer", "main", "plain", "plain in main", "plain in against", "against")
 PAIRS = len(KINDS) * len(KINDS)
 
 
+def known(word: str) -> str:
+    """The hint word that a longer word begins with (``sharedaddy``: share), from five letters on; else the word itself."""
+    return next((word[:n] for n in range(len(word), 4, -1) if word[:n] in HINTS), word)
+
+
 class Node:
-    __slots__ = ("tag", "parent", "hints", "own", "linked", "marks", "total", "total_linked", "label")
+    __slots__ = ("tag", "parent", "hints", "own", "linked", "marks", "total", "total_linked", "label", "named", "inside", "share", "largest", "least", "unnamed", "leads")
 
     def __init__(self, tag: str, parent: int, hints: list[str], label: str | None):
         self.tag, self.parent, self.hints, self.label = tag, parent, hints, label
+        self.named = self.inside = ""
+        self.share, self.least, self.largest, self.unnamed, self.leads = 0.0, 0.0, False, False, False
         self.own = self.linked = self.marks = self.total = self.total_linked = 0
 
 
@@ -83,8 +102,34 @@ class PageTree(HTMLParser):
             if node.parent >= 0:
                 self.nodes[node.parent].total += node.total
                 self.nodes[node.parent].total_linked += node.total_linked
+        self._placed()
         return self
 
+    def _placed(self) -> None:
+        """What each node names itself as, what the nearest ancestor with such a name does, and its share of the text without
+        links: of the page's, whether no sibling has more, how far it stays behind the sibling that has
+        most, and whether the next sibling is a text."""
+        most = [0] * len(self.nodes)
+        for node in self.nodes[1:]:
+            most[node.parent] = max(most[node.parent], node.total - node.total_linked)
+        whole = max(1, self.nodes[0].total - self.nodes[0].total_linked)
+        for node in self.nodes:
+            node.named = named(node)
+            if node.parent >= 0:
+                above = self.nodes[node.parent]
+                node.inside = above.named or above.inside
+                node.largest = node.total - node.total_linked >= max(1, most[node.parent])
+                node.least = 1 - (node.total - node.total_linked) / max(1, most[node.parent])
+            node.share = (node.total - node.total_linked) / whole
+        last: dict[int, Node] = {}
+        for node in self.nodes[1:]:
+            if node.parent in last:
+                last[node.parent].leads = node.total - node.total_linked >= 60 and node.named != "against"
+            last[node.parent] = node
+        unnamed = not any(node.named == "main" for node in self.nodes)
+        for node in self.nodes:
+            node.unnamed = unnamed
+
     def _flush(self) -> None:
         text = " ".join("".join(self.pieces).split())
         self.pieces = []
@@ -127,15 +172,15 @@ class PageTree(HTMLParser):
         self._pop(("p",))
         self._flush()
         self.links = 0
-        named = {k: (v or "") for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-label", "data-main")}
-        hints = WORD.findall(" ".join(v for k, v in named.items() if k in ("class", "id", "role", "aria-label")).lower())
-        if "hidden" in named or "display:none" in named.get("style", "").replace(" ", ""):
+        said = {k: (v or "") for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-label", "data-main")}
+        hints = [known(h) for h in WORD.findall(" ".join(v for k, v in said.items() if k in ("class", "id", "role", "aria-label")).lower())]
+        if "hidden" in said or "display:none" in said.get("style", "").replace(" ", ""):
             hints.append("hidden")
         if tag in ("html", "body"):
             self.nodes[0].hints += hints
-            self.nodes[0].label = named.get("data-main") or self.nodes[0].label
+            self.nodes[0].label = said.get("data-main") or self.nodes[0].label
             return
-        self.nodes.append(Node(tag, self.stack[-1][1], hints, named.get("data-main")))
+        self.nodes.append(Node(tag, self.stack[-1][1], hints, said.get("data-main")))
         self.stack.append((tag, len(self.nodes) - 1))
 
     def handle_startendtag(self, tag, attrs):
@@ -179,8 +224,20 @@ class PageTree(HTMLParser):
         pass
 
 
-def features(node: Node) -> list[float]:
+def named(node: Node) -> str:
+    """What an element names itself as by its tag or its hint words: ``main``, ``against``, or nothing."""
+    if node.parent < 0:
+        return ""
+    group, hints = GROUP_OF.get(node.tag, "other"), node.hints
+    telling = [h for h in hints if h not in LAYOUT]
+    if group in ("chrome", "form") or any(h in STRONG_WORDS for h in hints) or 2 * sum(h in AGAINST for h in telling) > len(telling):
+        return "against"
+    return "main" if group == "main" or any(h in IN_FAVOUR for h in hints) else ""
+
+
+def plain_features(node: Node) -> list[float]:
     group = GROUP_OF.get(node.tag, "other")
+    links, short, in_main = (node.total_linked / node.total if node.total else 0.0), float(node.total < 25), float(node.inside == "main")
     return [
         1.0,
         *[float(group == g) for g in GROUPS],
@@ -188,21 +245,50 @@ def features(node: Node) -> list[float]:
         sum(h in AGAINST for h in node.hints) / max(1, len(node.hints)),
         float(bool(node.hints) and all(h in AGAINST for h in node.hints)),
         float(any(h in IN_FAVOUR for h in node.hints)),
+        float(node.named == "main"),
+        float(node.named == "against"),
+        in_main,
+        float(node.inside == "against"),
         math.log1p(node.own) / 5,
         math.log1p(node.total) / 8,
-        node.total_linked / node.total if node.total else 0.0,
+        links,
+        links * in_main,
         min(1.0, 10 * node.marks / node.own) if node.own else 0.0,
-        float(node.total < 25),
+        short,
+        short * in_main,
+        node.share,
+        float(node.largest),
+        float(links > 0.5),
+        float(links > 0.3 and node.total < 150),
+        node.least,
+        node.least * (group == "other"),
+        node.least * (group == "other" and not node.named and not node.inside),
+        float(node.unnamed),
+        float(node.leads),
+        float(node.leads and group == "heading"),
+        float(node.leads and group == "heading" and node.unnamed and not node.inside),
     ]
 
 
+def features(node: Node) -> list[float]:
+    """The plain features, then whether each hint word is among the node's."""
+    out = plain_features(node) + [0.0] * len(HINTS)
+    for h in node.hints:
+        if h in HINTS:
+            out[HINTS[h]] = 1.0
+    return out
+
+
+def own_score(node: Node, weights: list[float]) -> float:
+    """The weighted sum of the node's features."""
+    return sum(w * x for w, x in zip(weights, plain_features(node), strict=False)) + sum(weights[HINTS[h]] for h in set(node.hints) if h in HINTS)
+
+
 def kind(node: Node) -> int:
-    """The place in KINDS of an element: the page itself, what names itself as main or as surroundings, or neither."""
+    """The place in KINDS of an element."""
     if node.parent < 0:
         return 0
-    group = GROUP_OF.get(node.tag, "other")
-    against = group in ("chrome", "form") or 2 * sum(h in AGAINST for h in node.hints) > len(node.hints)
-    return 3 if against else 1 if group == "main" or any(h in IN_FAVOUR for h in node.hints) else 2
+    return {"main": 1, "against": 5}.get(node.named) or {"": 2, "main": 3, "against": 4}[node.inside]
 
 
 def pair_kinds(nodes: list[Node]) -> list[int]:
@@ -225,14 +311,20 @@ class Extractor:
             return ""
         tree = PageTree().read(html)
         p = self.content(tree.nodes)
-        return "\n".join(text for node, text in tree.segments if p[node] > 0.5)
+        found = [text for node, text in tree.segments if p[node] > 0.5]
+        # a page with an article that has words has a text: the likeliest elements of what calls itself the article, else
+        # of what doesn't call itself anything
+        for kind in ("main", "") if not found else ():
+            own = [(p[node], text) for node, text in tree.segments if (tree.nodes[node].named or tree.nodes[node].inside) == kind and (kind or tree.nodes[node].own - tree.nodes[node].linked >= 25)]
+            found = found or [text for q, text in own if q >= max(own)[0] / 2]
+        return "\n".join(found)
 
 
 def sum_product(nodes: list[Node], weights: list[float], coupling: list[float]) -> list[float]:
     """The probability of content of each node. A parent and a child of one label have the potential exp(c), of two
     labels exp(-c), with the c of their kinds. Nodes come parents first, so one backward pass carries all messages up and
     one forward pass all down. Messages are log ratios, which add up without loss however many children there are."""
-    belief = [sum(w * x for w, x in zip(weights, features(node), strict=True)) for node in nodes]
+    belief = [own_score(node, weights) for node in nodes]
     c = [coupling[k] for k in pair_kinds(nodes)]
     up = [0.0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):

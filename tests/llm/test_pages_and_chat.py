@@ -9,7 +9,7 @@ import re
 
 import pytest
 
-from sparkloom.llm import chat, html_model, html_pages, queries
+from sparkloom.llm import chat, html_layouts, html_model, html_pages, queries
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +56,50 @@ def test_unseen_layouts():
     assert right > 0.85 * total
 
 
+def whole_pages_right(model, pages):
+    """The share of pages whose text is right as a whole."""
+    right = 0
+    for page in pages:
+        tree = html_pages.PageTree().read(page)
+        known = html_model.labels(tree.nodes)
+        right += model.text(page) == "\n".join(text for node, text in tree.segments if known[node])
+    return right / len(pages)
+
+
+def test_whole_texts_of_unseen_random_layouts(model):
+    pages = [html_model.filled(html_layouts.layout(500_000 + i), 900_000 + i) for i in range(400)]
+    assert whole_pages_right(model, pages) >= 0.9
+
+
+def test_whole_texts_of_layouts_by_hand_after_training_on_random_ones_alone():
+    pages = [html_model.filled(layout, 77_000 + 100 * i + v) for i, layout in enumerate(html_model.LAYOUTS) for v in range(3)]
+    assert whole_pages_right(html_model.train(layouts=()), pages) >= 0.75
+
+
+S = "This is a sentence of the article, which has sixteen words or so, to be kept whole."
+ORDINARY = [
+    (f'<body><div id="page"><header id="masthead"><a href="/">Site</a></header><main><article><header class="entry-header"><h1>Head</h1><div class="entry-meta">By me</div></header><div class="entry-content"><p>{S}</p><p>{S}</p><div class="sharedaddy"><a href="/t">Tweet</a></div></div></article><div id="comments"><p>{S}</p></div></main></div><aside class="widget-area"><h3>x</h3><ul><li><a href="/">y</a></li></ul></aside></body>', f"Head\n{S}\n{S}"),
+    (f'<body><div id="page"><main><article><header class="entry-header"><h1>Head</h1></header><div class="entry-content">{f"<p>{S}</p>" * 12}<div class="sharedaddy"><a href="/t">Tweet</a></div></div></article></main></div></body>', "\n".join(["Head"] + [S] * 12)),
+    (f'<div class="container"><div class="row"><div class="col-md-8"><h1>H</h1><p>{S}</p><p>{S}</p></div><div class="col-md-4"><h3>Links</h3><ul><li><a href="/">a</a></li></ul></div></div></div>', f"H\n{S}\n{S}"),
+    (f"<article><p>{S}</p><p><a>{S}</a></p><ul><li><a>First study, of rivers and lakes.</a></li></ul></article>", f"{S}\n{S}\nFirst study, of rivers and lakes."),
+    (f'<article><p>{S}</p><ul><li><a>one</a></li><li><a>two</a></li></ul><label>Figure 1</label><div id="ad-slot-3"><p>Buy now, it is cheap.</p></div></article>', f"{S}\none\ntwo\nFigure 1"),
+]
+
+
+@pytest.mark.parametrize("page", range(len(ORDINARY)))
+def test_ordinary_pages(model, page):
+    markup, text = ORDINARY[page]
+    assert model.text(markup) == text
+
+
+def test_an_article_with_words_has_a_text(model):
+    rng = random.Random(2)
+    for _ in range(100):
+        inner = "".join(rng.choice(["<p>a</p>", "<a>b</a>", "c ", "<ul><li><a>d</a></li></ul>", "<div class='x'><a>e</a></div>"]) for _ in range(rng.randint(1, 4)))
+        assert model.text(f"<body><nav><a>n</a></nav><article>{inner}</article><div class='comments'><p>{S}</p></div></body>")
+    assert model.text("<body><nav><ul><li><a href='/'>only a menu</a></li></ul></nav></body>") == ""
+
+
 def enumerated(nodes, model):
     """The marginals as sums over all labellings."""
     n, total = len(nodes), 0.0
