@@ -45,6 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """A table that was written to ``path`` by other means than :func:`written`, which can be measured like those."""
+    back = spark.read.parquet(path)
+    back._loom_path = path
+    return back
+
+
 #: Rows, and bytes of its files, up to which one side of a join is sent to every task.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
@@ -79,6 +86,18 @@ def discard(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def mark() -> int:
+    """What :func:`discard_since` takes: how much has been written so far."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, before: int, kept: DataFrame) -> None:
+    """Delete all that was written since :func:`mark`, but for ``kept``. Only one thread of a driver may use these two."""
+    for path in _WRITTEN[before:]:
+        if path != kept._loom_path:
+            _delete(spark, path)
+
+
 def _folder(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.durable import discard, sized_join, written
+from sparkloom.llm.durable import discard, is_small, opened, sized_join, written
 
 #: Payloads of fewer bytes are written in full each time.
 LEAST = 1000
@@ -70,9 +70,9 @@ def archive(records: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     if not several.isEmpty():
         again = sized_join(chosen, several, "address", "left_semi").groupBy("address").agg(F.first("payload").alias("payload"))
         chosen = sized_join(chosen, several, "address", "left_anti").unionByName(again)
-    chosen.write.parquet(f"{folder}/payloads")
+    chosen.write.option("compression", "zstd").parquet(f"{folder}/payloads")
     discard(seen, groups, several)
-    return spark.read.parquet(f"{folder}/heads"), spark.read.parquet(f"{folder}/payloads")
+    return opened(spark, f"{folder}/heads"), opened(spark, f"{folder}/payloads")
 
 
 def _intact(df: DataFrame) -> Column:
@@ -112,7 +112,10 @@ def write_files(heads: DataFrame, payloads: DataFrame, folder: str, least: int =
     from Parquet, or of a shuffle that Spark has dealt by size."""
     again = (F.col("bytes") >= least) & (F.col("record_id") != F.col("first"))
     options = {"lineSep": END + END, "compression": compression}
-    whole = heads.where(~again).join(payloads, "address")
+    whole = heads.where(~again)
+    if hasattr(heads, "_loom_path") and is_small(heads):
+        whole = F.broadcast(whole)  # payloads stay where they are
+    whole = payloads.join(whole, "address")
     block = F.concat(F.col("http").cast("binary"), F.col("payload"))
     whole.select(F.concat(_head("response", block).cast("binary"), block).cast("string").alias("value")).write.options(**options).text(f"{folder}/responses")
     same = heads.where(again)
