@@ -7,8 +7,10 @@ smallest in code-point order) if that count is ``ratio`` times its own or more;
 Near words are found by an exact join. The bigrams of a word are ordered by rarity in the vocabulary; its prefix is the
 first three of them with all places of the third. One edit spoils only one of two disjoint bigrams, so two of the prefix,
 chosen by dynamic programming to be disjoint and as rare as can be, are the word's pivots: of two near words, one has a
-pivot that stands in the other's prefix. Pivots meet prefixes by bigram, place and length: words of one length must have
-the bigram at the same place, else the longer one at the same place or one further. What meets is verified in the join.
+pivot that the edit leaves alone and that stands in the other's prefix. The edit is to the left or to the right of it, so
+the pivot has the same place there from one end of the word, and all letters from that end on are the same: pivots meet
+prefixes by the part of the word up to the bigram, and by the part from the bigram on, where the lengths differ by one at
+most. What meets is verified in the join.
 Texts are counted in tasks, by document and by part of a table, before anything is shuffled; a word of a third of all
 occurrences is one row of each part. The bigrams number at most 90 x 90, so their ranks go to all tasks.
 
@@ -97,10 +99,6 @@ def prefix_and_pivots(word: str, ranks: dict[str, tuple[int, int]]) -> tuple[lis
     return [(word[i : i + 2], i) for i in places], [(word[places[c] : places[c] + 2], places[c]) for c in chosen]
 
 
-#: How the place of a common bigram and the length differ between near words: one replaced, one more or one fewer.
-SHIFTS = ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1))
-
-
 def gram_entries(words: DataFrame) -> DataFrame:
     """(word, n, size, pivot, gram, place): prefix and pivots of ``words`` (word, n), which are distinct and have four code
     points or more."""
@@ -123,12 +121,12 @@ def gram_entries(words: DataFrame) -> DataFrame:
 
 def near_words(entries: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b), a < b: all pairs of near words, from their :func:`gram_entries`."""
-    shifts = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(s).alias("s")) for p, s in SHIFTS])).alias("shift")
-    asks = entries.where("pivot").select("word", "n", "gram", "place", "size", shifts)
-    asks = asks.select("word", "n", "gram", (F.col("place") + F.col("shift.p")).alias("place"), (F.col("size") + F.col("shift.s")).alias("size"))
-    index = entries.where("not pivot").select(F.col("word").alias("other"), F.col("n").alias("n_other"), F.col("gram").alias("g"), F.col("place").alias("p"), F.col("size").alias("s"))
-    near = (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
-    met = asks.join(index, (F.col("gram") == F.col("g")) & (F.col("place") == F.col("p")) & (F.col("size") == F.col("s")) & near)
+    word, place = F.col("word"), F.col("place")
+    sides = F.explode(F.array(F.concat(F.lit("<"), F.substring(word, F.lit(1), place + 2)), F.concat(F.lit(">"), F.substring(word, place + 1, F.col("size"))))).alias("part")
+    asks = entries.where("pivot").select("word", "n", "size", sides)
+    index = entries.where("not pivot").select(word.alias("other"), F.col("n").alias("n_other"), F.col("size").alias("size_other"), sides.alias("p"))
+    near = (F.abs(F.col("size") - F.col("size_other")) <= 1) & (word != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
+    met = asks.join(index, (F.col("part") == F.col("p")) & near)
     first, a, b = F.col("word") < F.col("other"), F.struct("word", "n"), F.struct(F.col("other").alias("word"), F.col("n_other").alias("n"))
     pairs = met.select(F.when(first, a).otherwise(b).alias("x"), F.when(first, b).otherwise(a).alias("y"))
     return pairs.select(F.col("x.word").alias("a"), F.col("x.n").alias("n_a"), F.col("y.word").alias("b"), F.col("y.n").alias("n_b")).distinct()
