@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of
 ``documents``; where a stage changes a text, ``n_chars`` follows. The result, one row per packed piece, depends on
 sketches and packing that SQL cannot express, so there is no ORACLE_SQL; tests hold it against brute force.
+
+In every stage, null and empty texts have no words: the quality rules drop them, as any text of fewer than 20 words. Ids may
+be null or repeat: rows that agree in id and text are one document and meet one fate, of near copies one row stays, ties go to the
+smallest id, and of one id to the smallest text hash. Texts of any length are worked on whole. Columns beyond those of ``documents`` are
+kept by all stages but the last, whatever their names. An empty table gives an empty one of the same columns.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from sparkloom.llm.durable import written
+from sparkloom.llm.durable import discard, discard_since, mark, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written and read again."""
+    """All stages over ``documents``; what a stage returns is written and read again. When it is written, the tables it was made
+    from go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, done = mark(), stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs, f"stage{i}")
+            done = written(done, f"stage{i}")
+            discard_since(spark, before, done)
+            discard(docs)
+        docs = done
     return docs
