@@ -59,4 +59,9 @@ SELECT docs.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_wor
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.names, []), coalesce(found.names, [])))), ','), '') AS labels,
     round(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(containment, 0) END, 6)::DOUBLE AS score FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
-SQL = {"op3_quality_rules": OP3, "op6_chat_formatting": OP6, "op7_benchmark_decontamination": OP7, "op10_license_scan": OP10}
+OP12 = """WITH sized AS (SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+placed AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM sized)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to, true AS intact FROM placed"""
+
+SQL = {"op3_quality_rules": OP3, "op6_chat_formatting": OP6, "op7_benchmark_decontamination": OP7, "op10_license_scan": OP10, "op12_warc": OP12}

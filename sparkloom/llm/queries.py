@@ -28,7 +28,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     gone = line_dedup.removed_lines(docs)
     lines = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = lines.join(gone, ["doc_id", "h"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<bigint>")))
+    gone = gone.withColumnsRenamed({"doc_id": "id_", "h": "h_"})
+    out = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<bigint>")))
     return out.select("doc_id", "n_lines", F.size("lines").cast("long").alias("n_removed"), F.col("lines").alias("removed_lines"))
 
 

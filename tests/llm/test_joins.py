@@ -2,11 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import durable, line_dedup, ngram_join, queries
+from sparkloom.llm import durable, line_dedup, ngram_join, oracles, queries
 from sparkloom.llm.components import components
 from tests.llm import brute
 
@@ -170,6 +171,11 @@ def test_pipeline_stages_on_their_own_input(spark, tables):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs_out.columns == docs.columns
         docs = docs_out
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
+    kept = {i for i, good in con.execute(f"SELECT doc_id, kept FROM ({oracles.SQL['op3_quality_rules']})").fetchall() if good}
+    before, out = local["quality rules"]
+    assert {r.doc_id: r.text for r in out} == {i: t for i, t in before.items() if i in kept} and 0 < len(kept) < len(before)
     before, out = local["line dedup"]
     gone = brute.lost_lines(list(before.items()))
     want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get((i, t), ())) for i, t in before.items()}
@@ -193,8 +199,19 @@ def test_pipeline_edges_and_whole_run(spark, tables, tmp_path):
     docs = brute.edges(spark)
     spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
+    held = set(durable._WRITTEN)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {6}
+    assert sum("/stage" in path for path in set(durable._WRITTEN) - held) == 1 and len(set(durable._WRITTEN) - held) <= 3
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_line_dedup_query_tells_rows_without_an_id_apart(spark, tmp_path):
+    rows = [(None, "A one\nB two"), (None, "B two\nA one"), (5, "A one"), (None, None), (7, "other")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_line_dedup(spark, str(tmp_path)).collect()
+    lost = brute.lost_lines([r for r in rows if r[1] is not None])
+    want = [(i, sorted(lost.get((i, t), ()))) for i, t in rows]
+    assert sorted(((r.doc_id, sorted(r.removed_lines)) for r in got), key=repr) == sorted(want, key=repr)
