@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
-from sparkloom.operators import change_log, changes, checks, clean, profile, relate, score, text
+from sparkloom.functions.staging import new_folder
+from sparkloom.operators import change_log, changes, checks, clean, profile, relate, score, text, text_index
 from sparkloom.plans import views as V
 from sparkloom.sources import files
 
@@ -627,6 +628,14 @@ def most_similar(spark, d):
     return r6(text.most_similar(V.articles(spark, d), 2), "similarity").select("id", "similarity")
 
 
+@query(SQL["most_similar"])
+def most_similar_indexed(spark, d):
+    docs, folder = V.articles(spark, d), new_folder(spark, "text_index")
+    text_index.write_index(docs, folder)
+    one = docs.where("id = 2").first()
+    return r6(text_index.nearest(text_index.open_index(spark, folder), one["content"], 3, but=2), "similarity")
+
+
 LOG = """lines AS (SELECT CASE WHEN event_id % 20 = 7 THEN '' WHEN event_id % 33 = 4 THEN 'junk ' || event_id
     ELSE '[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] ' || upper(event_type) || CASE WHEN event_id % 2 = 0 THEN ': ' ELSE ' ' END || 'user=' || user_id END AS value FROM events)"""
 
