@@ -7,7 +7,8 @@ times the words of the template and at least as many as it needs (length filter,
 ordered by how many documents hold them; a text is a candidate if it holds one of the first |T| - ceil(threshold |T|) + 1
 (the rarest) of a template and can still reach the overlap after the place of that first match (prefix and positional
 filters). The candidates' blocks are then all compared at once: each occurrence of a word counts for the blocks that start
-after the word's occurrence before it, so the best block is where most of these intervals overlap.
+after the word's occurrence before it, so the overlap of every block follows from where these intervals begin and end, and
+every place with blocks that meet the threshold is found, not the best one alone.
 
 Null text counts as empty: no words, no labels, null places. Rows that share id and text share their result; null ids are
 an id. An empty table gives an empty one.
@@ -59,6 +60,18 @@ TEMPLATES = {
         "caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
         "possibility of such damage"
     ),
+    "bsd-3-text": (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    ),
+    "lgpl": "under the terms of the gnu lesser general public license",
+    "agpl": "under the terms of the gnu affero general public license",
+    "mpl-2.0-notice": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled "
+        "binary for any purpose commercial or non commercial and by any means"
+    ),
     "apache-2.0-notice": (
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license "
         "2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or "
@@ -131,8 +144,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def template_matches(rows: DataFrame, threshold: float = 0.9, reduced: DataFrame | None = None) -> DataFrame:
-    """(id, h, label, containment) of each text of ``rows`` (id, text) with a block that meets the threshold, of its best
-    block; h: a hash of the text."""
+    """(id, h, label, first_word, last_word, containment) of every maximal place in the texts of ``rows`` (id, text) where blocks meet
+    the threshold; h: a hash of the text. Blocks that start at neighbouring words and all meet it are one place, which has the
+    words (from 0) and the containment of its best block, the last of equals."""
     spark = rows.sparkSession
     held = reduced if reduced is not None else written(_reduced(rows), "reduced")
     counts = held.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -157,21 +171,26 @@ def template_matches(rows: DataFrame, threshold: float = 0.9, reduced: DataFrame
     shared = F.array_intersect("words", "template")
     candidates = candidates.where((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("word")))  # once a text and template
     candidates = written(candidates.select("id", "h", "label", "size", "need", "span", "template").distinct(), "candidates")
-    return _best_blocks(rows, candidates)
+    return _blocks(rows, candidates)
 
 
-def _best_blocks(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The candidates whose best block reaches the overlap. An occurrence at place p of a word that stood last at q counts
-    for the blocks that start from max(q, p - span) + 1 to p."""
+def _blocks(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The places of the candidates' blocks that reach the overlap. An occurrence at place p of a word that stood last at q
+    counts for the blocks that start from max(q, p - span) + 1 to p, so the overlap changes only where such a range begins or ends; a
+    text's words are one list in one task, its template words one window."""
     wanted = written(candidates.select("id", "h").distinct(), "wanted")
     texts = sized_join(rows.withColumn("h", F.xxhash64("text")), wanted, ["id", "h"]).dropDuplicates(["id", "h"])
     words = sized_join(texts.select("id", "h", F.split(_spelled(F.col("text")), " ").alias("words")), candidates, ["id", "h"])
-    group = ["id", "h", "label", "size", "need"]
-    found = words.select(*group, "span", "template", F.posexplode("words").alias("at", "word")).where(F.array_contains("template", F.col("word"))).drop("template")
+    group = ["id", "h", "label", "size", "need", "span", "n_words"]
+    found = words.select(*group[:-1], F.size("words").alias("n_words"), "template", F.posexplode("words").alias("at", "word")).where(F.array_contains("template", F.col("word"))).drop("template")
     before = F.lag("at").over(Window.partitionBy("id", "h", "label", "word").orderBy("at"))
     found = found.withColumn("start", F.greatest(F.coalesce(before, F.lit(-1)), F.col("at") - F.col("span")) + 1)
     events = found.select(*group, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct((F.col("at") + 1).alias("at"), F.lit(-1).alias("step")))).alias("e"))
     steps = events.groupBy(*group, F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step"))
-    held = steps.withColumn("overlap", F.sum("step").over(Window.partitionBy("id", "h", "label").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    best = held.groupBy(*group).agg(F.max("overlap").alias("overlap")).where(F.col("overlap") >= F.col("need"))
-    return best.select("id", "h", "label", (F.col("overlap") / F.col("size")).alias("containment"))
+    along = Window.partitionBy("id", "h", "label").orderBy("at")
+    held = steps.withColumn("overlap", F.sum("step").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead("at").over(along) - 1)
+    held = held.withColumn("good", F.col("overlap") >= F.col("need")).withColumn("opens", F.col("good") & ~F.coalesce(F.lag("good").over(along), F.lit(False)))
+    held = held.withColumn("place", F.sum(F.col("opens").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))).where("good")
+    best = held.groupBy(*group, "place").agg(F.max(F.struct("overlap", "last")).alias("best"))
+    end = F.least(F.col("best.last") + F.col("span"), F.col("n_words")) - 1
+    return best.select("id", "h", "label", F.col("best.last").cast("long").alias("first_word"), end.cast("long").alias("last_word"), (F.col("best.overlap") / F.col("size")).alias("containment"))

@@ -358,19 +358,32 @@ def test_template_words_in_any_order_of_rarity(spark):
     assert [(r.label, round(r.containment, 9)) for r in found] == [("mit-text", round((len(words) - 1) / len(words), 9))]
 
 
+def places(words, template):
+    """(first word, last word, containment) of every place, by trying every run of words."""
+    known, span = set(template.split()), -(-len(template.split()) * 10 // 9)
+    overlap = [len(known & set(words[i : i + span])) for i in range(len(words))]
+    good, out = [10 * n >= 9 * len(known) for n in overlap], []
+    for i, ok in enumerate(good):
+        if ok and (not i or not good[i - 1]):
+            end = next((j for j in range(i, len(words)) if not good[j]), len(words))
+            best = max(range(i, end), key=lambda j: (overlap[j], j))
+            out.append((best, min(best + span, len(words)) - 1, round(overlap[best] / len(known), 9)))
+    return out
+
+
 def matches(spark, texts):
-    """{(number, label): containment} of template_matches, and of every run of words in plain Python."""
-    want = {}
-    for k, text in enumerate(texts):
-        words = brute.normal(text)
-        for label, t in licenses.TEMPLATES.items():
-            known, span = set(t.split()), -(-len(t.split()) * 10 // 9)
-            best = max((len(known & set(words[i : i + span])) for i in range(len(words))), default=0)
-            if 10 * best >= 9 * len(known):
-                want[k, label] = round(best / len(known), 9)
+    """{(number, label): containment} of template_matches, whose places all equal those of plain Python."""
+    want = {(k, label, *p) for k, text in enumerate(texts) for label, t in licenses.TEMPLATES.items() for p in places(brute.normal(text), t)}
     found = licenses.template_matches(spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "id int, text string")).collect()
-    assert {(r.id, r.label): round(r.containment, 9) for r in found} == want and len(found) == len(want)
-    return want
+    assert {(r.id, r.label, r.first_word, r.last_word, round(r.containment, 9)) for r in found} == want and len(found) == len(want)
+    return {(k, label): max(c for i, name, _, _, c in want if (i, name) == (k, label)) for k, label, *_ in want}
+
+
+def test_every_place_of_a_template_is_found(spark):
+    text = " ".join(["released under the mit license", "filler " * 9, "licensed under the apache license version 2 0", "more " * 30, "released under the mit license", "released under the mit license", "x " * 20, "this is released under the the mit license"])
+    want = places(brute.normal(text), licenses.TEMPLATES["mit"])
+    assert len(want) >= 3
+    matches(spark, [text, "", text + " " + text])
 
 
 def test_templates_wrapped_over_any_lines(spark):
