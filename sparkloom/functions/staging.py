@@ -12,8 +12,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_FOLDERS: list[str] = []
+#: Folders that are there to be deleted.
+FOLDERS: list[str] = []
 #: Rows, and bytes of files, up to which one side of a join is sent to every task.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 
@@ -33,9 +35,9 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a new folder in the shared one. It is deleted by :func:`remove`, or when the driver's Python ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _FOLDERS:
+    if not FOLDERS:
         atexit.register(_remove_all, spark)
-    _FOLDERS.append(path)
+    FOLDERS.append(path)
     return path
 
 
@@ -44,14 +46,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    back = spark.read.schema(schema).parquet(path)
+    return opened(spark, path, schema)
+
+
+def opened(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A Parquet table in the shared folder, as a frame that can be measured."""
+    back = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
     back._staged_at = path
     return back
 
 
+def path_of(df: DataFrame) -> str | None:
+    """Where a frame was staged; frames made from it have no such place."""
+    return getattr(df, "_staged_at", None)
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether a staged frame may be sent to every task: measured, in bytes of its files and in rows."""
-    files, target = _folder(df.sparkSession, df._staged_at)
+    files, target = _folder(df.sparkSession, path_of(df))
     return files.getContentSummary(target).getLength() <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS
 
 
@@ -63,15 +75,15 @@ def sized(df: DataFrame) -> DataFrame:
 def dropped(*frames: DataFrame) -> None:
     """Delete what :func:`staged` has written for these frames; they must not be read again."""
     for df in frames:
-        if getattr(df, "_staged_at", None):
-            remove(df.sparkSession, df._staged_at)
+        if path := path_of(df):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     files, target = _folder(spark, path)
     files.delete(target, True)
-    if path in _FOLDERS:
-        _FOLDERS.remove(path)
+    if path in FOLDERS:
+        FOLDERS.remove(path)
 
 
 def _folder(spark: SparkSession, path: str):
@@ -80,7 +92,7 @@ def _folder(spark: SparkSession, path: str):
 
 
 def _remove_all(spark: SparkSession) -> None:
-    for path in list(_FOLDERS):
+    for path in list(FOLDERS):
         try:
             remove(spark, path)
         except Exception:  # the JVM may have ended first

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import columns as C
+from sparkloom.functions.staging import staged
 
 #: The columns of a sales table, in order.
 SALES_COLUMNS = ("Transaction_ID", "Item", "Quantity", "Price_Per_Unit", "Total_Spent", "Payment_Method", "Location", "Transaction_Date")
@@ -86,13 +87,12 @@ def with_season(df: DataFrame, date: str = "Transaction_Date") -> DataFrame:
 
 
 def imputed_sales(df: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Every fill of the chain at once: derived values, medians, modes and the mode of each price, in two passes over the
-    table. The medians need only derived columns and the modes none, so one aggregate gives them all; the items are counted
+    """Every fill of the chain at once: derived values, medians, modes and the mode of each price, in three passes over the
+    table: one for a row of statistics, which is staged, one for the counts and one for the fills. The medians need only derived columns and the modes none, so one aggregate gives them all; the items are counted
     per price before the median is known, and the counts of rows without a price are added to those of the median's."""
     derived = price_and_quantity_derived(df)
-    one = derived.agg(
-        *[median_of(c, accuracy).alias(f"_{c}") for c in ("Quantity", "Price_Per_Unit")], *[F.mode(c, deterministic=True).alias(f"_{c}") for c in ("Payment_Method", "Location")]
-    )
+    medians = [median_of(c, accuracy).alias(f"_{c}") for c in ("Quantity", "Price_Per_Unit")]
+    one = staged(derived.agg(*medians, *[F.mode(c, deterministic=True).alias(f"_{c}") for c in ("Payment_Method", "Location")]), "statistics")
     counts = derived.where("Item is not null").groupBy("Price_Per_Unit", "Item").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(one.select("_Price_Per_Unit")))
     counts = counts.groupBy(F.coalesce("Price_Per_Unit", "_Price_Per_Unit").alias("_price"), "Item").agg(F.sum("n").alias("n"))
     modes = counts.groupBy("_price").agg(F.min(F.struct(-F.col("n"), "Item"))["Item"].alias("_Item"))
