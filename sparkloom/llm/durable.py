@@ -1,65 +1,16 @@
-"""Tables written to the cluster's shared folder, to cut lineage and to share work between jobs."""
+"""Tables written to the cluster's shared folder, to cut lineage and to share work between jobs; joins by measured size."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WRITTEN: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which must not be a machine's own
-    folder unless Spark runs on that machine alone."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_loom"
-    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master) and re.match(r"file:|/", folder):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """The path of a folder of its own in the shared folder, for files that :func:`written` does not make; it goes like those."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(_discard_all, spark)
-    _WRITTEN.append(path)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: later plans start from the files, which outlive
-    any executor. The files go when the driver's Python ends (or earlier through :func:`discard`)."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    back = spark.read.schema(schema).parquet(path)
-    back._loom_path = path
-    return back
-
-
-def opened(spark: SparkSession, path: str) -> DataFrame:
-    """A table that was written to ``path`` by other means than :func:`written`, which can be measured like those."""
-    back = spark.read.parquet(path)
-    back._loom_path = path
-    return back
-
-
-#: Rows, and bytes of its files, up to which one side of a join is sent to every task.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
+from sparkloom.functions import staging
+from sparkloom.functions.staging import dropped as discard
+from sparkloom.functions.staging import is_small, new_folder, opened, remove, shared_folder
+from sparkloom.functions.staging import staged as written
 
-
-def is_small(df: DataFrame) -> bool:
-    """Whether a frame from :func:`written` may be sent to every task: measured, in bytes of its files and in rows."""
-    folder = _folder(df.sparkSession, df._loom_path)
-    return folder[0].getContentSummary(folder[1]).getLength() <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS
+__all__ = ["discard", "discard_since", "is_small", "mark", "new_folder", "opened", "remove", "shared_folder", "sized_join", "written"]
 
 
 def sized_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -73,46 +24,13 @@ def sized_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "
     return joined if how in ("left_anti", "left_semi") else joined.drop(*[f"{c}__" for c in on])
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of :func:`new_folder`."""
-    _delete(spark, path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what :func:`written` stored for these frames; they must not be read again."""
-    for df in frames:
-        path = getattr(df, "_loom_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-
-
 def mark() -> int:
     """What :func:`discard_since` takes: how much has been written so far."""
-    return len(_WRITTEN)
+    return len(staging.FOLDERS)
 
 
 def discard_since(spark: SparkSession, before: int, kept: DataFrame) -> None:
     """Delete all that was written since :func:`mark`, but for ``kept``. Only one thread of a driver may use these two."""
-    for path in _WRITTEN[before:]:
-        if path != kept._loom_path:
-            _delete(spark, path)
-
-
-def _folder(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    files, target = _folder(spark, path)
-    files.delete(target, True)
-    if path in _WRITTEN:
-        _WRITTEN.remove(path)
-
-
-def _discard_all(spark: SparkSession) -> None:
-    for path in list(_WRITTEN):
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may have ended first
-            return
+    for path in staging.FOLDERS[before:]:
+        if path != staging.path_of(kept):
+            remove(spark, path)

@@ -113,7 +113,7 @@ def write_files(heads: DataFrame, payloads: DataFrame, folder: str, least: int =
     again = (F.col("bytes") >= least) & (F.col("record_id") != F.col("first"))
     options = {"lineSep": END + END, "compression": compression}
     whole = heads.where(~again)
-    if hasattr(heads, "_loom_path") and is_small(heads):
+    if is_small(heads):
         whole = F.broadcast(whole)  # payloads stay where they are
     whole = payloads.join(whole, "address")
     block = F.concat(F.col("http").cast("binary"), F.col("payload"))

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import durable, line_dedup, ngram_join, oracles, queries
+from sparkloom.functions import staging
+from sparkloom.llm import line_dedup, ngram_join, oracles, queries
 from sparkloom.llm.components import components
 from tests.llm import brute
 
@@ -67,7 +68,7 @@ def test_one_of_each_of_rows_that_share_an_id(spark, monkeypatch):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(2, a), (2, a), (2, a + " more"), (2, b), (1, a), (None, c), (None, c), (None, b + " more"), (7, c), (8, None), (8, None), (9, "one"), (9, "one"), (None, "lone words"), (None, "other lone words")]
     for small in (1 << 20, 0):  # the second time, no side of a join counts as small
-        monkeypatch.setattr(durable, "BROADCAST_ROWS", small)
+        monkeypatch.setattr(staging, "BROADCAST_ROWS", small)
         monkeypatch.setattr(ngram_join, "CROWD", 2)
         out = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id int, text string"))
         got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
@@ -199,9 +200,9 @@ def test_pipeline_edges_and_whole_run(spark, tables, tmp_path):
     docs = brute.edges(spark)
     spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    held = set(durable._WRITTEN)
+    held = set(staging.FOLDERS)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {6}
-    assert sum("/stage" in path for path in set(durable._WRITTEN) - held) == 1 and len(set(durable._WRITTEN) - held) <= 3
+    assert sum("/stage" in path for path in set(staging.FOLDERS) - held) == 1 and len(set(staging.FOLDERS) - held) <= 3
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
