@@ -8,9 +8,9 @@ Near words are found by an exact join. The bigrams of a word are ordered by rari
 first three of them with all places of the third. One edit spoils only one of two disjoint bigrams, so two of the prefix,
 chosen by dynamic programming to be disjoint and as rare as can be, are the word's pivots: of two near words, one has a
 pivot that the edit leaves alone and that stands in the other's prefix. The edit is to the left or to the right of it, so
-the pivot has the same place there from one end of the word, and all letters from that end on are the same: pivots meet
-prefixes by the part of the word up to the bigram, and by the part from the bigram on, where the lengths differ by one at
-most. What meets is verified in the join.
+the pivot has the same place there from one end of the word, and all letters from that end on are the same; of the other
+side, cut into halves, one half is the same too. Pivots meet prefixes by the bigram, its place from that end and these
+letters, for lengths that differ by one at most. What meets is verified in the join.
 Texts are counted in tasks, by document and by part of a table, before anything is shuffled; a word of a third of all
 occurrences is one row of each part. The bigrams number at most 90 x 90, so their ranks go to all tasks.
 
@@ -99,34 +99,56 @@ def prefix_and_pivots(word: str, ranks: dict[str, tuple[int, int]]) -> tuple[lis
     return [(word[i : i + 2], i) for i in places], [(word[places[c] : places[c] + 2], places[c]) for c in chosen]
 
 
+def asked_keys(word: str, place: int) -> list[str]:
+    """The four keys of a pivot. The edit is to its right or to its left; the rest of the word on that side is cut into
+    halves, of which the edit leaves one alone."""
+    after, before = place + 2 + (len(word) - place - 2) // 2, place // 2
+    return ["1" + word[:after], f"2{word[: place + 2]}|{word[after:]}", f"3{word[:before]}|{word[place:]}", "4" + word[before:]]
+
+
+def indexed_keys(word: str, place: int) -> set[str]:
+    """The keys under which pivots of near words, one letter shorter, as long or one longer, ask for a bigram of a prefix."""
+    size, out = len(word), set()
+    for asking in (size - 1, size, size + 1):
+        rest = asking - place - 2
+        if rest >= 0 and place + 2 + rest // 2 <= size:
+            out.add("1" + word[: place + 2 + rest // 2])
+        if 0 <= rest - rest // 2 <= size - place - 2:
+            out.add(f"2{word[: place + 2]}|{word[size - (rest - rest // 2) :]}")
+        there = place + asking - size  # the place of the pivot, as far from the end
+        if there >= 0:
+            out.add(f"3{word[: there // 2]}|{word[place:]}")
+            if asking - there // 2 <= size:
+                out.add("4" + word[size - (asking - there // 2) :])
+    return out
+
+
 def gram_entries(words: DataFrame) -> DataFrame:
-    """(word, n, size, pivot, gram, place): prefix and pivots of ``words`` (word, n), which are distinct and have four code
-    points or more."""
+    """(word, n, pivot, key): the keys of the pivots, and of the bigrams of the prefix, of ``words`` (word, n), which are
+    distinct and have four code points or more. Keys are hashes; what they bring together is verified."""
     grams = words.select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> substring(word, i, 2))")).alias("gram"))
-    counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "gram").collect()
+    counted = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "gram").collect()  # of 90 x 90 at most
     ranks = {r["gram"]: (i, r["n"]) for i, r in enumerate(counted)}
-    place = pa.struct([("pivot", pa.bool_()), ("gram", pa.string()), ("place", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            out = []
+            asks, index = [], []
             for word in batch.column(0).to_pylist():
                 prefix, pivots = prefix_and_pivots(word, ranks)
-                out.append([{"pivot": kind, "gram": g, "place": i} for kind, found in ((False, prefix), (True, pivots)) for g, i in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(place))], ["word", "n", "places"])
+                asks.append([key for _, place in pivots for key in asked_keys(word, place)])
+                index.append(sorted({key for _, place in prefix for key in indexed_keys(word, place)}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(asks, pa.list_(pa.string())), pa.array(index, pa.list_(pa.string()))], ["word", "n", "asks", "index"])
 
-    placed = words.select("word", "n").mapInArrow(run, "word string, n long, places array<struct<pivot:boolean,gram:string,place:int>>")
-    return placed.select("word", "n", F.length("word").alias("size"), F.inline("places"))
+    made = words.select("word", "n").mapInArrow(run, "word string, n long, asks array<string>, index array<string>")
+    both = [F.transform(c, lambda key, c=c: F.struct(F.lit(c == "asks").alias("pivot"), F.xxhash64(key).alias("key"))) for c in ("asks", "index")]
+    return made.select("word", "n", F.inline(F.concat(*both)))
 
 
 def near_words(entries: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b), a < b: all pairs of near words, from their :func:`gram_entries`."""
-    word, place = F.col("word"), F.col("place")
-    sides = F.explode(F.array(F.concat(F.lit("<"), F.substring(word, F.lit(1), place + 2)), F.concat(F.lit(">"), F.substring(word, place + 1, F.col("size"))))).alias("part")
-    asks = entries.where("pivot").select("word", "n", "size", sides)
-    index = entries.where("not pivot").select(word.alias("other"), F.col("n").alias("n_other"), F.col("size").alias("size_other"), sides.alias("p"))
-    near = (F.abs(F.col("size") - F.col("size_other")) <= 1) & (word != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
-    met = asks.join(index, (F.col("part") == F.col("p")) & near)
+    index = entries.where("not pivot").select(F.col("word").alias("other"), F.col("n").alias("n_other"), F.col("key").alias("k"))
+    near = (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
+    met = entries.where("pivot").join(index, (F.col("key") == F.col("k")) & near)
     first, a, b = F.col("word") < F.col("other"), F.struct("word", "n"), F.struct(F.col("other").alias("word"), F.col("n_other").alias("n"))
     pairs = met.select(F.when(first, a).otherwise(b).alias("x"), F.when(first, b).otherwise(a).alias("y"))
     return pairs.select(F.col("x.word").alias("a"), F.col("x.n").alias("n_a"), F.col("y.word").alias("b"), F.col("y.n").alias("n_b")).distinct()
