@@ -20,9 +20,11 @@ def con(tables):
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, tables, con, name):
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
     df = catalog.QUERIES[name](spark, tables)
     columns = sorted(df.columns)
     got = sorted(tuple(map(repr, r)) for r in df.select(*columns).collect())
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached  # a query leaves nothing in the cache
     result = con.execute(catalog.SQL[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
