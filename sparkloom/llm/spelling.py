@@ -140,8 +140,9 @@ def gram_entries(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(asks, pa.list_(pa.string())), pa.array(index, pa.list_(pa.string()))], ["word", "n", "asks", "index"])
 
     made = words.select("word", "n").mapInArrow(run, "word string, n long, asks array<string>, index array<string>")
-    both = [F.transform(c, lambda key, c=c: F.struct(F.lit(c == "asks").alias("pivot"), F.xxhash64(key).alias("key"))) for c in ("asks", "index")]
-    return made.select("word", "n", F.inline(F.concat(*both)))
+    asks = F.transform("asks", lambda key: F.struct(F.lit(True).alias("pivot"), F.xxhash64(key).alias("key")))
+    index = F.transform("index", lambda key: F.struct(F.lit(False).alias("pivot"), F.xxhash64(key).alias("key")))
+    return made.select("word", "n", F.inline(F.concat(asks, index)))
 
 
 def near_words(entries: DataFrame) -> DataFrame:
