@@ -21,6 +21,8 @@ from sparkloom.operators.text import ranked_sets
 
 #: Postings that a question opens before it knows any neighbour.
 FIRST = 100_000
+#: Ranges of values that a filter names to the files.
+RANGES = 32
 
 
 @dataclass
@@ -46,15 +48,26 @@ def open_index(spark: SparkSession, folder: str) -> TextIndex:
     return TextIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("sets", "words", "postings", "ids")])
 
 
-def _one_of(column: str, values: list) -> Column:
-    """A filter that reaches the files: groups of ten, which Parquet's reader compares one by one."""
-    return reduce(Column.__or__, [F.col(column).isin(values[i : i + 10]) for i in range(0, len(values), 10)], F.lit(False))
+def _one_of(rows: DataFrame, column: str, values: list) -> DataFrame:
+    """The rows with one of the values. The values are sent and looked up by their hash, so their number costs a row nothing;
+    a few ranges around them reach the files, which are sorted by the column."""
+    if not values:
+        return rows.where("false")
+    values = sorted(values)
+    step = -(-len(values) // RANGES)
+    near = reduce(Column.__or__, [F.col(column).between(*(values[i : i + step][x] for x in (0, -1))) for i in range(0, len(values), step)])
+    kind = rows.schema[column].dataType.simpleString()
+    return rows.where(near).join(F.broadcast(_listed(rows.sparkSession, column, values, kind)), column, "left_semi")
+
+
+def _listed(spark: SparkSession, column: str, values: list, kind: str) -> DataFrame:
+    return spark.createDataFrame([(values,)], f"v array<{kind}>").select(F.explode("v").alias(column))
 
 
 def _question(index: TextIndex, spark: SparkSession, text: str) -> tuple[list[tuple[int, int]], int]:
     """(rank, n) of the question's words that the index has, the rarest first, and the number of all its words."""
     terms = spark.createDataFrame([(text,)], "t string").select(F.array_distinct(C.tokens(F.col("t")))).first()[0]
-    known = index.words.where(_one_of("term", terms)).select("rank", "n").collect() if terms else []
+    known = _one_of(index.words, "term", terms).select("rank", "n").collect()
     return sorted((r["rank"], r["n"]) for r in known), len(terms)
 
 
@@ -90,8 +103,8 @@ def nearest(index: TextIndex, text: str, n: int = 3, but: object = None) -> Data
         reach = (F.col("shared") + F.least(F.lit(left), F.col("size") - F.col("shared"))) / F.sqrt(F.lit(float(size)) * F.col("size"))
         near = met.where(reach >= least - 1e-9)
         if left:
-            own = F.array(*[F.lit(rank).cast("long") for rank, _ in words])
-            near = index.sets.join(near.select("id"), "id").select("id", "size", F.size(F.array_intersect("ranks", own)).alias("shared"))
+            own = spark.createDataFrame([([rank for rank, _ in words],)], "own array<long>")
+            near = index.sets.join(near.select("id"), "id").join(F.broadcast(own)).select("id", "size", F.size(F.array_intersect("ranks", "own")).alias("shared"))
         found = near.select("id", score.alias("similarity"))
     best = found.orderBy(F.desc(F.round("similarity", 9)), "id").limit(n)
     others = index.ids.where(~F.col("id").eqNullSafe(F.lit(but))).orderBy("id").limit(2 * n)  # n are left without those of the best
@@ -101,5 +114,5 @@ def nearest(index: TextIndex, text: str, n: int = 3, but: object = None) -> Data
 
 def _met(index: TextIndex, ranks: list[int], but: object) -> DataFrame:
     """(id, size, shared) of the texts that have any of these words."""
-    rows = index.postings.where(_one_of("rank", ranks) & ~F.col("id").eqNullSafe(F.lit(but)))
+    rows = _one_of(index.postings, "rank", ranks).where(~F.col("id").eqNullSafe(F.lit(but)))
     return rows.groupBy("id", "size").agg(F.count(F.lit(1)).alias("shared"))
